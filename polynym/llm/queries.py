@@ -2,23 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import simhash
+from polynym.llm import sentencepiece_spans, simhash, transport_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _model(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _token_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of encoded and decoded batches; spans_sha256 is over the starts and ends as 32-bit numbers."""
+    number: list[bytes] = []
+    for b in batches:
+        columns = [b.column(n) for n in ("ids", "starts", "ends")]
+        flat = [c.flatten().to_numpy() for c in columns]
+        offset = columns[0].offsets.to_numpy()
+        cut = list(zip((offset[:-1] - offset[0]).tolist(), (offset[1:] - offset[0]).tolist(), strict=True))
+        if len(flat[0]) and (most := int(flat[0].max())) >= len(number):
+            number += [str(i).encode() for i in range(len(number), most + 1)]
+        ids = [hashlib.sha256(b" ".join(map(number.__getitem__, flat[0][i:j].tolist()))).hexdigest() for i, j in cut]
+        spans = [hashlib.sha256(flat[1][i:j].tobytes() + flat[2][i:j].tobytes()).hexdigest() for i, j in cut]
+        decoded = [hashlib.sha256(t.as_py() or b"").hexdigest() for t in b.column("decoded").cast(pa.binary())]
+        out = [b.column("doc_id"), pa.array([j - i for i, j in cut], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(spans, pa.string())]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+
+
+def op1_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding, decoding and digests follow each other in one task, so ids and spans never leave it."""
+    model = sentencepiece_spans.read_model(_model("piece_bpe_32k.model"))
+    encode, decode = sentencepiece_spans.encode_batches(model, add_eos=True), sentencepiece_spans.decode_batches(model)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(lambda b: _token_digests(decode(encode(b))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+
+
+def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_diff=4)
 
 
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
