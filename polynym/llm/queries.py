@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import sentencepiece_spans, simhash, transport_stream
+from polynym.llm import quality_crf, sentencepiece_spans, simhash, transport_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_diff=4)
 
 
-QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup)
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, sample=3000)
+
+
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op10_quality_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
