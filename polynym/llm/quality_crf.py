@@ -111,7 +111,7 @@ class Model:
         return out
 
 
-def train(chains: list[np.ndarray], labels: list[int], rounds: int = 250, step: float = 0.1, l2: float = 2e-4, longest: int = 64) -> Model:
+def train(chains: list[np.ndarray], labels: list[int], rounds: int = 80, step: float = 0.2, l2: float = 2e-4, longest: int = 64) -> Model:
     """Maximum likelihood by gradient ascent (Adam); each line carries its document's label."""
     dim = 3 * NF + 3
     if len(set(labels)) < 2:
@@ -210,7 +210,7 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Model:
     """A model from at most ``sample`` labelled documents that aren't held out.
 
     The documents are those whose id hashes lowest, so the choice is the same on
@@ -235,7 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(score_batches(model), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 3000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 2000) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row for each row of ``docs``.
 
     Only texts enter a score. Null ids are scored and count as not held out;
@@ -246,7 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 3000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 2000) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
     model = fit(docs, labels, sample)
 

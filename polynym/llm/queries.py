@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import quality_crf, sentencepiece_spans, simhash, transport_stream
+from polynym.llm import mixing, quality_crf, sentencepiece_spans, simhash, transport_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, sample=3000)
+    return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, sample=2000)
 
 
-QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op10_quality_crf)
+#: Target weights of the mixture; sources not named weigh 1.
+WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+
+
+def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(_table(spark, sf_dir, "documents"), WEIGHTS, default_weight=1.0, epochs=1.0, seed=42)
+
+
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op8_poisson_mix, op10_quality_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -66,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_poisson_mix": mixing.oracle(WEIGHTS, 1.0, 1.0, 42, "doc_id, text, lang, source, n_chars")}
