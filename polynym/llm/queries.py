@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import mixing, quality_crf, sentencepiece_spans, simhash, transport_stream
+from polynym.llm import fuzzy_lines, mixing, quality_crf, sentencepiece_spans, simhash, transport_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,11 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"), WEIGHTS, default_weight=1.0, epochs=1.0, seed=42)
 
 
-QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op8_poisson_mix, op10_quality_crf)
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), blocks=5, agree=2, within=10, similarity=0.8)
+
+
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
