@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import fuzzy_lines, mixing, quality_crf, sentencepiece_spans, simhash, transport_stream, warc
+from polynym.llm import epsilon_grid, fuzzy_lines, mixing, quality_crf, sentencepiece_spans, simhash, transport_stream, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, sample=2000)
 
 
+def op5_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_grid.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_archives(_table(spark, sf_dir, "pages"), least=100).drop("file")
 
@@ -74,7 +78,7 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), blocks=5, agree=2, within=10, similarity=0.8)
 
 
-QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op5_epsilon_grid, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
