@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import epsilon_grid, fuzzy_lines, mixing, quality_crf, sentencepiece_spans, simhash, transport_stream, warc
+from polynym.llm import epsilon_grid, fuzzy_lines, mixing, prefix_free, quality_crf, sentencepiece_spans, simhash, transport_stream, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.removal_digests(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_diff=4)
 
@@ -78,7 +82,7 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), blocks=5, agree=2, within=10, similarity=0.8)
 
 
-QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op4_simhash_near_dedup, op5_epsilon_grid, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op3_prefix_free, op4_simhash_near_dedup, op5_epsilon_grid, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
