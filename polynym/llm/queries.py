@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import epsilon_grid, fuzzy_lines, mixing, prefix_free, quality_crf, sentencepiece_spans, simhash, transport_stream, warc
+from polynym.llm import epsilon_grid, fuzzy_lines, mixing, prefix_free, quality_crf, sentencepiece_spans, simhash, token_counts, transport_stream, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op5_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_grid.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"), _model("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.suffix_sums(token_counts.histogram(lengths))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_archives(_table(spark, sf_dir, "pages"), least=100).drop("file")
 
@@ -82,7 +89,7 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), blocks=5, agree=2, within=10, similarity=0.8)
 
 
-QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op3_prefix_free, op4_simhash_near_dedup, op5_epsilon_grid, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op3_prefix_free, op4_simhash_near_dedup, op5_epsilon_grid, op6_token_counts, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
