@@ -9,13 +9,18 @@ so equal windows lie in phrases with one trigger.
    a phrase, in corpus order, repeat earlier text throughout. This is the
    dictionary with the parse's first occurrences.
 2. Only first occurrences whose trigger another phrase shares can still hold
-   windows that occur elsewhere. The windows of these dictionary phrases, i.e.
-   suffixes of the dictionary cut at ``length`` bytes, are sorted by a 128-bit
-   key and then by place; all but the first in each class repeat earlier text.
-3. Windows that repeat cover the bytes to remove.
+   windows that occur elsewhere. Their windows, i.e. suffixes of the dictionary
+   cut at ``length`` bytes, are taken eight at a time, in steps counted from the
+   trigger. The bytes that all eight share are hashed, the seven on either side
+   are kept as they are. Blocks are sorted by this content; again the later of
+   equal blocks repeat throughout.
+3. Windows of blocks that share their middle but not their sides are sorted by
+   content and then by place; all but the first in each class repeat.
+4. Windows that repeat cover the bytes to remove.
 
 The order within a class is the corpus order; classes themselves are ordered by
-key, not by alphabet, since only equality decides here.
+key, not by alphabet, since only equality decides here. Texts that have to meet
+their runs are shuffled compressed.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,8 @@ Batches = Iterator[pa.RecordBatch]
 GRAM = 24
 PIECE_BITS = 20  # positions in a piece that is hashed at once
 PAD = 256
+STEP = 8  # windows in a block
+SIDE = np.uint64((1 << 8 * (STEP - 1)) - 1)
 LAST = (1 << 63) - 1
 # Odd multipliers of the hash.
 M1, M2, M3, M4, M5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -72,11 +80,11 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(texts: list[bytes], front: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """One padded buffer, and where each text starts in it."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    buf = np.frombuffer(bytearray(b"".join(texts)) + bytearray(PAD), dtype=np.uint8)
-    return buf, np.cumsum(sizes) - sizes
+    buf = np.frombuffer(bytearray(front) + bytearray(b"".join(texts)) + bytearray(PAD), dtype=np.uint8)
+    return buf, np.cumsum(sizes) - sizes + front
 
 
 def _pieces(rows: list[int], texts: list[bytes], length: int, limit: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -98,7 +106,7 @@ def _pieces(rows: list[int], texts: list[bytes], length: int, limit: int) -> Ite
 
 
 def _phrases(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(piece, start, count, trigger, content) of each run of windows with one trigger."""
+    """(piece, start, count, trigger's distance from start, its hash, content) of each run of windows with one trigger."""
     buf, first = _joined(texts)
     h8, h16 = _grams(buf)
     n = len(buf) - PAD
@@ -106,7 +114,7 @@ def _phrases(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     count = np.maximum(size - length + 1, 0)
     starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
     if not len(starts):
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     gram = _mix(h16[: len(buf) - PAD] * M3 + h8[16 : len(buf) - PAD + 16])
     mask = np.uint64((1 << PIECE_BITS) - 1)
     lowest = _lowest((gram & ~mask) | np.arange(len(gram), dtype=np.uint64), length - GRAM + 1)
@@ -118,15 +126,7 @@ def _phrases(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     at, end = starts[head], starts[head] + run - 1
     content = _mix(_window_hash(h16, at, length, M4) * M5 + _window_hash(h16, end, length, M4)) + run.astype(np.uint64)
     piece = np.searchsorted(first, at, side="right") - 1
-    return piece, at - first[piece], run, gram[trigger[head]], content
-
-
-def _later(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (a, b, doc, start), and which rows of it repeat an earlier (a, b)."""
-    order = np.lexsort((start, doc, b, a))
-    same = np.zeros(len(order), dtype=bool)
-    same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    return order, same
+    return piece, at - first[piece], run, trigger[head] - at, gram[trigger[head]], content
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,117 +142,181 @@ def _merged(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.n
     return doc[head], start[head], end[last] - start[head]
 
 
-KEYED = ["a", "b", "ord", "start", "count"]
+KEYED = ["a", "b", "c", "ord", "at"]
+KEYED_SCHEMA = "a long, b long, c long, ord long, at long"
+
+
+def _place(start: np.ndarray, count: np.ndarray, rest: np.ndarray | int = 0) -> np.ndarray:
+    """A run in one number: start, count and 7 bits more."""
+    return start.astype(np.int64) << 32 | count.astype(np.int64) << 7 | rest
+
+
+def _unplace(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 32, at >> 7 & ((1 << 25) - 1), at & 127
 
 
-def _keyed(a, b, doc, start, count) -> Iterator[pa.RecordBatch]:
-    """Rows to sort by (a, b); those that repeat a row of the same batch go as finished runs, under no key."""
-    order, same = _later(a, b, doc, start)
+def _keyed(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows to sort by content (a, b, c); those that repeat a row of the same batch go as finished runs.
+
+    A finished run has no b, and is dealt by its document.
+    """
+    order = np.lexsort((start, doc, c, b, a))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]) & (c[order][1:] == c[order][:-1])
     keep, gone = order[~same], order[same]
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (a, b)] + [pa.array(doc[keep]), *(pa.array(x[keep].astype(np.int32)) for x in (start, count))], KEYED)
+    yield pa.RecordBatch.from_arrays([*(pa.array(x[keep].view(np.int64)) for x in (a, b, c)), pa.array(doc[keep]), pa.array(_place(start[keep], count[keep], rest[keep]))], KEYED)
     if len(gone):
-        d, s, c = _merged(doc[gone], start[gone], count[gone])
-        # They are dealt by document and told by b being null.
-        yield pa.RecordBatch.from_arrays([pa.array(_mix(d.astype(np.uint64)).view(np.int64)), pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32))], KEYED)
+        d, s, n = _merged(doc[gone], start[gone], count[gone])
+        none = pa.nulls(len(d), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(_mix(d.astype(np.uint64)).view(np.int64)), none, none, pa.array(d), pa.array(_place(s, n))], KEYED)
 
 
 def phrase_batches(length: int) -> Callable[[Batches], Batches]:
+    """(ord, text) to a row for each phrase: trigger, content, none, place."""
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), [t.as_py() for t in batch.column(1).cast(pa.binary())]
             found = []
             for rows, at, parts in _pieces(list(range(len(texts))), texts, length, 1 << PIECE_BITS):
-                piece, start, count, trigger, content = _phrases(parts, length)
-                found.append((trigger, content, ids[np.array(rows)[piece]], start + np.array(at)[piece], count))
+                piece, start, count, rel, trigger, content = _phrases(parts, length)
+                found.append((trigger, content, np.zeros_like(content), ids[np.array(rows)[piece]], start + np.array(at)[piece], count, rel))
             if found:
                 yield from _keyed(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
 
-def repeat_batches(candidates: bool) -> Callable[[Batches], Batches]:
-    """Sorted (a, b, ord, start, count) rows to (ord, start, count, sure): runs of windows.
+def _streamed(batches: Batches, candidates: bool) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Of rows sorted by (a, b, c, ord, at): (columns, sure) of those that count.
 
-    ``sure``: not the first row with its a and b, so all its windows repeat. With
-    ``candidates``, also the first rows of every b under an a that has several.
-    Only the last rows seen are held, however large a group is.
+    ``sure`` rows are not the first of their content, or were finished before.
+    With ``candidates`` the first rows of each content count too, if their a has
+    several contents. Only the last row seen is held, however large a group is.
+    """
+    before: tuple[int, ...] | None = None
+    pending: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        done = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+        if done.any():
+            gone = batch.filter(pa.array(done))
+            yield {n: gone.column(n).to_numpy() for n in ("ord", "at")}, np.ones(len(gone), dtype=bool)
+            batch = batch.filter(pa.array(~done))
+        if not len(batch):
+            continue
+        col = {n: batch.column(n).to_numpy() for n in KEYED}
+        new_a, new = np.ones(len(batch), dtype=bool), np.ones(len(batch), dtype=bool)
+        new_a[1:] = col["a"][1:] != col["a"][:-1]
+        new[1:] = new_a[1:] | (col["b"][1:] != col["b"][:-1]) | (col["c"][1:] != col["c"][:-1])
+        if before is not None:
+            new_a[0] = col["a"][0] != before[0]
+            new[0] = new_a[0] or (col["b"][0], col["c"][0]) != before[1:]
+        before = col["a"][-1], col["b"][-1], col["c"][-1]
+        yield {n: v[~new] for n, v in col.items()}, np.ones(int((~new).sum()), dtype=bool)
+        head = np.flatnonzero(new)
+        if not candidates or not len(head):
+            continue
+        opens = new_a[head]
+        if not opens[0] and pending is not None:
+            yield pending, np.zeros(1, dtype=bool)
+        pick = head[~opens | np.append(~opens[1:], False)]
+        yield {n: v[pick] for n, v in col.items()}, np.zeros(len(pick), dtype=bool)
+        pending = {n: v[head[-1:]] for n, v in col.items()} if opens[-1] else None
+
+
+RUNS = "ord long, start int, count int, rel int, sure boolean"
+
+
+def phrase_repeats(batches: Batches) -> Batches:
+    """Sorted phrases to runs of windows: those that repeat for sure, and candidates with their trigger's distance."""
+    for col, sure in _streamed(batches, True):
+        start, count, rel = _unplace(col["at"])
+        yield pa.RecordBatch.from_arrays([pa.array(col["ord"], pa.int64()), *(pa.array(x, pa.int32()) for x in (start, count, rel)), pa.array(sure)], ["ord", "start", "count", "rel", "sure"])
+
+
+def block_batches(length: int) -> Callable[[Batches], Batches]:
+    """(ord, compressed text, runs) to a row for each block of windows: hash of the middle, left side, right side, place.
+
+    The left side's last byte holds the first and last window of the block that
+    are in the run; bytes that no such window has are zero.
     """
-
-    def run(batches: Batches) -> Batches:
-        before: tuple[int, int] | None = None
-        pending: tuple | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            done = batch.column("b").is_null().to_numpy(zero_copy_only=False)
-            if done.any():
-                d, s, c = (batch.column(n).to_numpy()[done] for n in ("ord", "start", "count"))
-                yield _runs(d, s, c, np.ones(len(d), dtype=bool))
-                batch = batch.filter(pa.array(~done))
-                if not len(batch):
-                    continue
-            a, b, doc, start, count = (batch.column(n).to_numpy() for n in KEYED)
-            new_a, new_b = np.ones(len(a), dtype=bool), np.ones(len(a), dtype=bool)
-            new_a[1:] = a[1:] != a[:-1]
-            new_b[1:] = new_a[1:] | (b[1:] != b[:-1])
-            if before is not None:
-                new_a[0] = a[0] != before[0]
-                new_b[0] = new_a[0] or b[0] != before[1]
-            before = a[-1], b[-1]
-            out = [(doc[~new_b], start[~new_b], count[~new_b], np.ones((~new_b).sum(), dtype=bool))]
-            if candidates:
-                head = np.flatnonzero(new_b)
-                opens = new_a[head]
-                another = np.append(~opens[1:], False) if len(head) else np.zeros(0, dtype=bool)
-                if len(head) and not opens[0] and pending is not None:
-                    out.append(tuple(np.array([x]) for x in pending) + (np.zeros(1, dtype=bool),))
-                    pending = None
-                pick = head[~opens | another]
-                out.append((doc[pick], start[pick], count[pick], np.zeros(len(pick), dtype=bool)))
-                if len(head):
-                    last = head[-1]
-                    pending = (doc[last], start[last], count[last]) if new_a[last] else None
-            yield _runs(*(np.concatenate(x) for x in zip(*out, strict=True)))
-
-    return run
-
-
-def _runs(doc, start, count, sure) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(sure)], ["ord", "start", "count", "sure"])
-
-
-def window_batches(length: int) -> Callable[[Batches], Batches]:
-    """(ord, text, runs) to a row for each window of the runs."""
 
     def run(batches: Batches) -> Batches:
         for whole in batches:
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
-                ids, texts = batch.column(0).to_numpy(), [t.as_py() for t in batch.column(1).cast(pa.binary())]
+                ids, texts = batch.column(0).to_numpy(), _unpacked(batch.column(1))
                 runs = batch.column(2)
-                ends = runs.offsets.to_numpy()
-                row = np.repeat(np.arange(len(texts)), np.diff(ends))
-                start, count = (runs.flatten().field(n).to_numpy().astype(np.int64) for n in ("start", "count"))
-                buf, first = _joined(texts)
+                row = np.repeat(np.arange(len(texts)), np.diff(runs.offsets.to_numpy()))
+                start, count, rel = (runs.flatten().field(n).to_numpy().astype(np.int64) for n in ("start", "count", "rel"))
+                buf, first = _joined(texts, STEP)
                 _, h16 = _grams(buf)
-                which = np.repeat(np.arange(len(row)), count)
-                at = start[which] + np.arange(len(which)) - (np.cumsum(count) - count)[which]
-                place = first[row[which]] + at
-                yield from _keyed(_window_hash(h16, place, length, M4), _window_hash(h16, place, length, M2), ids[row[which]], at, np.ones(len(at), dtype=np.int64))
+                words = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+                low, high = -rel // STEP, (count - 1 - rel) // STEP
+                blocks = high - low + 1
+                which = np.repeat(np.arange(len(row)), blocks)
+                base = (start + rel)[which] + STEP * (low[which] + np.arange(len(which)) - (np.cumsum(blocks) - blocks)[which])
+                p, q = np.maximum(start[which] - base, 0), np.minimum((start + count - 1)[which] - base, STEP - 1)
+                at = first[row[which]] + base
+                middle = _window_hash(h16, at + STEP - 1, length - STEP + 1, M4)
+                eight = np.uint64(8)
+                left = (words[at] & SIDE) >> (p.astype(np.uint64) * eight) << (p.astype(np.uint64) * eight)
+                right = words[at + length] & ((np.uint64(1) << (q.astype(np.uint64) * eight)) - np.uint64(1))
+                left |= (p | q << 3).astype(np.uint64) << np.uint64(56)
+                yield from _keyed(middle, left, right, ids[row[which]], base + p, q - p + 1, p)
 
     return run
 
 
+def block_repeats(batches: Batches) -> Batches:
+    """Sorted blocks to finished runs and, of blocks that share their middle only, a row for each window."""
+    for col, sure in _streamed(batches, True):
+        if not len(sure):
+            continue
+        start, count, p = _unplace(col["at"])
+        none = pa.nulls(int(sure.sum()), pa.int64())
+        if sure.any():
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(col["ord"][sure].astype(np.uint64)).view(np.int64)), none, none, pa.array(col["ord"][sure]), pa.array(_place(start[sure], count[sure]))], KEYED)
+            continue
+        which = np.repeat(np.arange(len(start)), count)
+        step = np.arange(len(which)) - (np.cumsum(count) - count)[which]
+        window = (p[which] + step).astype(np.uint64) * np.uint64(8)
+        a, left, right = (col[n][which].view(np.uint64) for n in ("a", "b", "c"))
+        left = (left & SIDE) >> window
+        right = right & ((np.uint64(1) << window) - np.uint64(1))
+        one = _mix(_mix(a + window) * M2 + left)
+        two = _mix(_mix(a * M3 + right) * M5 + left + window)
+        yield from _keyed(one, two, np.zeros_like(one), col["ord"][which], start[which] + step, np.ones(len(which), dtype=np.int64), np.zeros(len(which), dtype=np.int64))
+
+
+def window_repeats(batches: Batches) -> Batches:
+    for col, sure in _streamed(batches, False):
+        d, s, n = _merged(col["ord"], *_unplace(col["at"])[:2])
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())], ["ord", "start", "count"])
+
+
+def pack_batches(batches: Batches) -> Batches:
+    """Texts compressed for a shuffle: (.., text) to (.., packed)."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        packed = pa.array([pack(t.as_py() or b"") for t in b.column("text").cast(pa.binary())], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], [*b.schema.names[:-1], "packed"])
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x.as_py()) for x in column]
+
+
 def removal_batches(length: int) -> Callable[[Batches], Batches]:
-    """(doc_id, text, runs of repeated windows or null) to the text without the bytes they cover."""
+    """(doc_id, compressed text, runs of repeated windows or null) to the text without the bytes they cover."""
 
     def run(batches: Batches) -> Batches:
         for whole in batches:
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
                 kept, removed, spans = [], [], []
-                for text, runs in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                    data = text.as_py() or b""
+                for data, runs in zip(_unpacked(batch.column(1)), batch.column(2), strict=True):
                     pairs = runs.as_py()
                     if not pairs:
                         kept.append(data)
@@ -304,15 +368,16 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     """``(ord, start, count)``: runs of ``count`` windows that occur earlier in the corpus."""
-    schema = "a long, b long, ord long, start int, count int"
-    found = "ord long, start int, count int, sure boolean"
-    sort = ["a", "b", "ord", "start"]
-    phrases = rows.select("ord", "text").mapInArrow(phrase_batches(length), schema)
-    runs = materialize(phrases.repartition("a").sortWithinPartitions(*sort).mapInArrow(repeat_batches(True), found), "phrases")
-    some = runs.where(~F.col("sure")).groupBy("ord").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    windows = rows.select("ord", "text").join(some, "ord").select("ord", "text", "runs").mapInArrow(window_batches(length), schema)
-    again = windows.repartition("a").sortWithinPartitions(*sort).mapInArrow(repeat_batches(False), found)
-    return runs.where("sure").union(again).select("ord", "start", "count")
+    sort = ["a", "b", "c", "ord", "at"]
+    dealt = lambda df: df.repartition("a").sortWithinPartitions(*sort)
+    phrases = rows.select("ord", "text").mapInArrow(phrase_batches(length), KEYED_SCHEMA)
+    runs = materialize(dealt(phrases).mapInArrow(phrase_repeats, RUNS), "phrases")
+    some = runs.where(~F.col("sure")).groupBy("ord").agg(F.collect_list(F.struct("start", "count", "rel")).alias("runs"))
+    packed = rows.select("ord", "text").mapInArrow(pack_batches, "ord long, packed binary")
+    blocks = packed.join(some, "ord").select("ord", "packed", "runs").mapInArrow(block_batches(length), KEYED_SCHEMA)
+    windows = dealt(blocks).mapInArrow(block_repeats, KEYED_SCHEMA)
+    again = materialize(dealt(windows).mapInArrow(window_repeats, "ord long, start int, count int"), "windows")
+    return runs.where("sure").select("ord", "start", "count").union(again)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,4 +403,5 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, steps, sc
         raise ValueError(f"length must be {GRAM + 16} or more")
     rows, once = _ordered(docs, id_col, text_col)
     gone = repeated_windows(once, length).groupBy("ord").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    return rows.join(gone, "ord", "left").select("doc_id", "text", "runs").mapInArrow(steps, f"doc_id long, {schema}")
+    packed = rows.select("ord", "doc_id", "text").mapInArrow(pack_batches, "ord long, doc_id long, packed binary")
+    return packed.join(gone, "ord", "left").select("doc_id", "packed", "runs").mapInArrow(steps, f"doc_id long, {schema}")

@@ -51,23 +51,23 @@ def test_long_texts_are_cut_into_pieces(monkeypatch, spark):
     for bits in (9, 11, 20):
         monkeypatch.setattr(P, "PIECE_BITS", bits)
         first = list(P.phrase_batches(100)(iter([P.pa.RecordBatch.from_arrays([P.pa.array([7]), P.pa.array([long])], ["ord", "text"])])))
-        runs = [(s, c) for b in first for s, c in zip(b.column("start").to_pylist(), b.column("count").to_pylist())]
+        runs = [(at >> 32, at >> 7 & (2**25 - 1)) for b in first for at in b.column("at").to_pylist()]
         assert sorted(k for s, c in runs for k in range(s, s + c)) == list(range(len(long) - 99))
 
 
 def test_streamed_groups_over_batches():
     rnd = np.random.default_rng(13)
-    rows = sorted((int(a), int(b), int(d), int(s)) for a, b, d, s in zip(rnd.integers(0, 12, 90), rnd.integers(0, 3, 90), rnd.integers(0, 50, 90), rnd.permutation(90)))
+    rows = sorted((int(a), int(b), 0, int(d), int(s)) for a, b, d, s in zip(rnd.integers(0, 12, 90), rnd.integers(0, 3, 90), rnd.integers(0, 50, 90), rnd.permutation(90)))
     sure, maybe = set(), set()
-    for k, (a, b, d, s) in enumerate(rows):
+    for k, (a, b, _, d, s) in enumerate(rows):
         if k and rows[k - 1][:2] == (a, b):
             sure.add((d, s))
         elif len({r[1] for r in rows if r[0] == a}) > 1:
             maybe.add((d, s))
     for size in (1, 2, 7, 90):
-        batches = [P.pa.RecordBatch.from_arrays([*(P.pa.array([r[j] for r in rows[k : k + size]], P.pa.int64() if j < 3 else P.pa.int32()) for j in range(4)), P.pa.array([1] * len(rows[k : k + size]), P.pa.int32())], P.KEYED) for k in range(0, 90, size)]
-        got = [(d, s, u) for b in P.repeat_batches(True)(iter(batches)) for d, s, u in zip(*(b.column(n).to_pylist() for n in ("ord", "start", "sure")))]
-        assert {(d, s) for d, s, u in got if u} == sure and {(d, s) for d, s, u in got if not u} == maybe
+        batches = [P.pa.RecordBatch.from_arrays([P.pa.array([r[j] for r in rows[k : k + size]], P.pa.int64()) for j in range(5)], P.KEYED) for k in range(0, 90, size)]
+        got = [(d, s, u) for col, u_ in P._streamed(iter(batches), True) for d, s, u in zip(col["ord"], col["at"], u_)]
+        assert {(d, s) for d, s, u in got if u} == sure and {(d, s) for d, s, u in got if not u} == maybe and len(got) == len(sure | maybe)
 
 
 def test_edges(spark):
