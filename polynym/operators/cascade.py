@@ -101,24 +101,24 @@ class Cascade:
         """
         # Exact links are stars within each normal form and would join whatever else joins their members.
         rows = materialize(keys.where("norm <> ''"), "keys")
-        parts = [self._exact(rows), self._fuzzy(rows, "norm", self.tier2, 2), self._fuzzy(rows, "latin", self.tier3, 3), self._last(rows)]
+        parts = [self.exact_links(rows), self.fuzzy_links(rows, "norm", self.tier2, 2), self.fuzzy_links(rows, "latin", self.tier3, 3), self.last_links(rows)]
         found = parts[0]
         for p in parts[1:]:
             found = found.union(p)
         best = F.min(F.struct("tier", (-F.col("score")).alias("less")))
         return found.groupBy("src", "dst").agg(best.alias("best")).select("src", "dst", F.col("best.tier").alias("tier"), (-F.col("best.less")).alias("score"))
 
-    def _exact(self, rows: DataFrame) -> DataFrame:
+    def exact_links(self, rows: DataFrame) -> DataFrame:
         lead = rows.groupBy("norm", "etype").agg(F.min("kid").alias("lead"))
         same = rows.join(lead, ["norm", "etype"]).where("kid <> lead").select(F.col("lead").alias("src"), F.col("kid").alias("dst"))
         free = lead.where("etype = ''").select("norm", F.col("lead").alias("src"))
         typed = lead.where("etype <> ''").join(free, "norm").select(F.least("src", "lead").alias("src"), F.greatest("src", "lead").alias("dst"))
         return same.union(typed).select("src", "dst", F.lit(0).alias("tier"), F.lit(1.0).alias("score"))
 
-    def _fuzzy(self, rows: DataFrame, form: str, threshold: float, tier: int) -> DataFrame:
+    def fuzzy_links(self, rows: DataFrame, form: str, threshold: float, tier: int) -> DataFrame:
         """Jaro-Winkler at the threshold or more: within scripts by normal form, across them by Latin form."""
         side = rows.select("kid", "norm", "script", "etype", F.col(form).alias("form")).where("form <> ''")
-        candidates = self._jw_candidates(side, threshold, ["script"] if tier == 2 else [])
+        candidates = self.jaro_winkler_candidates(side, threshold, ["script"] if tier == 2 else [])
         a, b = (side.select(*(F.col(c).alias(f"{c}_{s}") for c in side.columns)) for s in ("a", "b"))
         pairs = candidates.join(a, F.col("src") == F.col("kid_a")).join(b, F.col("dst") == F.col("kid_b")).where("norm_a <> norm_b")
         pairs = pairs.where("script_a = script_b" if tier == 2 else "script_a <> script_b")
@@ -126,7 +126,7 @@ class Cascade:
         scored = pairs.select("src", "dst", jaro_winkler(F.col("form_a"), F.col("form_b")).alias("score")).where(F.col("score") >= threshold)
         return scored.select("src", "dst", F.lit(tier).alias("tier"), "score")
 
-    def _jw_candidates(self, side: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    def jaro_winkler_candidates(self, side: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
         """Pairs (src < dst) that hold every pair of the threshold or more, types compatible.
 
         Pairs with one first letter are joined on it. Of all others the prefix is
@@ -135,7 +135,7 @@ class Cascade:
         and its number within the name) among the rarest of either.
         """
         first = side.select("kid", "etype", *keys, F.substring("form", 1, 1).alias("token"))
-        found = self._typed_join(first, [*keys, "token"])
+        found = self.typed_pairs(first, [*keys, "token"])
         share = 3 * threshold - 2
         letters = side.select("kid", "etype", *keys, F.length("form").alias("n"), F.posexplode(F.split("form", "")).alias("pos", "c")).where("c <> ''")
         within = Window.partitionBy("kid", "c").orderBy("pos")
@@ -145,19 +145,19 @@ class Cascade:
         rare = tokens.join(often, "token").withColumn("place", F.row_number().over(order))
         least = F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9)) if share > 0 else F.lit(1)
         prefix = rare.where(F.col("place") <= F.col("n") - least + 1).select("kid", "etype", *keys, "token")
-        return found.union(self._typed_join(prefix, [*keys, "token"])).distinct()
+        return found.union(self.typed_pairs(prefix, [*keys, "token"])).distinct()
 
     @staticmethod
-    def _typed_join(rows: DataFrame, on: list[str]) -> DataFrame:
+    def typed_pairs(rows: DataFrame, on: list[str]) -> DataFrame:
         """Pairs of equal ``on`` whose types are equal or of which one has none, as equi-joins."""
         a, b = rows.withColumnRenamed("kid", "src"), rows.withColumnRenamed("kid", "dst")
         typed = a.where("etype <> ''").join(b.where("etype <> ''"), [*on, "etype"]).where("src < dst").select("src", "dst")
         free = a.where("etype = ''").select("src", *on).join(b.select("dst", *on), on).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         return typed.union(free).distinct()
 
-    def _last(self, rows: DataFrame) -> DataFrame:
+    def last_links(self, rows: DataFrame) -> DataFrame:
         if self.backend == "vector":
-            pairs = self._near_vectors(rows) if 0 < self.tier4 <= 1 else self._typed_join(rows.select("kid", "etype", F.lit(0).alias("token")), ["token"])
+            pairs = self._near_vectors(rows) if 0 < self.tier4 <= 1 else self.typed_pairs(rows.select("kid", "etype", F.lit(0).alias("token")), ["token"])
             a, b = (rows.select(F.col("kid").alias(n), F.col("vector").alias(f"vector_{s}")) for n, s in (("src", "a"), ("dst", "b")))
             scored = pairs.join(a, "src").join(b, "dst").select("src", "dst", cosine(F.col("vector_a"), F.col("vector_b")).alias("score"))
         else:
@@ -187,14 +187,14 @@ class Cascade:
         grams = materialize(grams, "grams")
         norms = grams.groupBy("kid").agg(F.sum(F.col("tf") * F.col("tf")).alias("sq"))
         if self.tier4 <= 0:
-            pairs = self._typed_join(rows.select("kid", "etype", F.lit(0).alias("token")), ["token"])
+            pairs = self.typed_pairs(rows.select("kid", "etype", F.lit(0).alias("token")), ["token"])
         else:
             # The rarest common gram of a pair lies where the grams after it are too light for the threshold.
             often = grams.groupBy("gram").agg(F.count("*").alias("df"))
             rarest = Window.partitionBy("kid").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             light = grams.join(often, "gram").join(norms, "kid").withColumn("rest", F.sum(F.col("tf") * F.col("tf")).over(rarest))
             prefix = light.where(F.col("rest") >= self.tier4 * self.tier4 * F.col("sq") * (1 - 1e-9))
-            pairs = self._typed_join(prefix.select("kid", "etype", "gram"), ["gram"])
+            pairs = self.typed_pairs(prefix.select("kid", "etype", "gram"), ["gram"])
         a, b = (grams.select(F.col("kid").alias(n), "gram", F.col("tf").alias(f"tf_{n}")) for n in ("src", "dst"))
         dots = pairs.join(a, "src").join(b, ["dst", "gram"]).groupBy("src", "dst").agg(F.sum(F.col("tf_src") * F.col("tf_dst")).alias("dot"))
         x, y = (norms.select(F.col("kid").alias(n), F.col("sq").alias(f"sq_{n}")) for n in ("src", "dst"))
