@@ -332,8 +332,8 @@ labelled AS (SELECT idx, l1_title AS l1, l2_title AS l2, bucket, true AS positiv
 tn AS (SELECT l1 AS nm FROM labelled UNION SELECT l2 FROM labelled),{_grams("tn")},
 tp2 AS (SELECT DISTINCT l1, l2 FROM labelled),
 dots AS (SELECT l1, l2, sum(x.tf * y.tf) AS dot FROM tp2 JOIN grams x ON x.nm = l1 JOIN grams y ON y.nm = l2 AND y.gram = x.gram GROUP BY ALL),
-ts AS (SELECT l1, l2, jaro_winkler_similarity(l1, l2) >= 0.82 AS t3_hit, round(coalesce(dot, 0) / (sqrt(a.sq) * sqrt(b.sq)), 6) AS t4_score FROM tp2 LEFT JOIN dots USING (l1, l2) JOIN norms a ON a.nm = l1 JOIN norms b ON b.nm = l2),
-scored AS (SELECT labelled.*, t3_hit, t4_score, true AS same_script FROM labelled JOIN ts USING (l1, l2))"""
+ts AS (SELECT l1, l2, jaro_winkler_similarity(l1, l2) >= 0.82 AS t3_hit, coalesce(dot, 0) / (sqrt(a.sq) * sqrt(b.sq)) AS t4_raw, round(t4_raw, 6) AS t4_score FROM tp2 LEFT JOIN dots USING (l1, l2) JOIN norms a ON a.nm = l1 JOIN norms b ON b.nm = l2),
+scored AS (SELECT labelled.*, t3_hit, t4_raw, t4_score, true AS same_script FROM labelled JOIN ts USING (l1, l2))"""
 TALLY = """
 tiers AS (SELECT *, unnest([struct_pack(tier := 't3', hit := t3_hit), struct_pack(tier := 't4', hit := t4_score >= 0.75), struct_pack(tier := 'combined', hit := (t3_hit AND NOT same_script) OR t4_score >= 0.75), struct_pack(tier := 'combined_ungated', hit := t3_hit OR t4_score >= 0.75)]) AS t FROM scored)"""
 
@@ -389,7 +389,7 @@ n AS (SELECT p.idx, row_number() OVER (PARTITION BY p.idx ORDER BY d, q.idx) AS
         "per_bucket_f1": f"{_tally('bucket')} SELECT * FROM f",
         "tier_winner": f"{_tally('bucket')} SELECT bucket, arg_max(tier, struct_pack(a := f1, b := precision, c := tier)) AS winner, max(f1) AS f1 FROM f WHERE tier <> 'combined_ungated' GROUP BY 1",
         "f1_heatmap": f"{_tally('bucket', 'idx % 2 AS half, ')} SELECT bucket, max(f1) FILTER (half = 0) AS even, max(f1) FILTER (half = 1) AS odd FROM f WHERE tier = 'combined' GROUP BY 1",
-        "threshold_sweep": f"""WITH {SCORED}, told AS (SELECT *, unnest([0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9]::DOUBLE[]) AS t4_threshold FROM scored WHERE positive), {_outcomes('t4_threshold', 'told', 't4_threshold')} SELECT t4_threshold, "both", t3_only, t4_only, neither, round((t3_only + "both") / n, 6) AS t3_recall, round((t4_only + "both") / n, 6) AS t4_recall, round((n - neither) / n, 6) AS combined_recall, round(t3_only / n, 6) AS t3_marginal_over_t4, {decided} FROM o""",
+        "threshold_sweep": f"""WITH {SCORED}, told AS (SELECT * REPLACE (t4_raw AS t4_score), unnest([0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9]::DOUBLE[]) AS t4_threshold FROM scored WHERE positive), {_outcomes('t4_threshold', 'told', 't4_threshold')} SELECT t4_threshold, "both", t3_only, t4_only, neither, round((t3_only + "both") / n, 6) AS t3_recall, round((t4_only + "both") / n, 6) AS t4_recall, round((n - neither) / n, 6) AS combined_recall, round(t3_only / n, 6) AS t3_marginal_over_t4, {decided} FROM o""",
         "outcomes_by_bucket": f"""WITH {SCORED}, pos AS (SELECT * FROM scored WHERE positive), {_outcomes('bucket', 'pos', '0.75')} SELECT bucket, "both", t3_only, t4_only, neither, round(t4_only / n, 6) AS t4_marginal FROM o""",
         "t3_only_stats": f"WITH {SCORED} SELECT bucket, min(t4_score) AS min, list_sort(list(t4_score))[count(*) // 2 + 1] AS median, max(t4_score) AS max FROM scored WHERE t3_hit AND t4_score < 0.75 GROUP BY 1",
         "topk_low": f"WITH {SCORED} SELECT idx, positive, l1, l2, t4_score FROM scored WHERE t3_hit AND t4_score < 0.75 ORDER BY t4_score, idx, positive LIMIT 10",

@@ -4,8 +4,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.get('PYTHONPATH', '')}"
+HERE = Path(__file__).resolve().parent
+for folder in (HERE / "llm", HERE, HERE.parent):
+    sys.path.insert(0, str(folder))
+# Workers import what tests hand them.
+os.environ["PYTHONPATH"] = ":".join([*map(str, (HERE.parent, HERE, HERE / "llm")), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
