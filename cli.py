@@ -17,12 +17,38 @@ def parser() -> argparse.ArgumentParser:
         resolve.add_argument(name, type=float, default=default)
     resolve.add_argument("--force-tfidf", action="store_true", help="use character n-grams in the last tier (the only backend without vectors)")
     resolve.add_argument("-v", "--verbose", action="store_true")
+    evaluate = commands.add_parser("evaluate", help="report on labelled title pairs, ROOT/xx_yy/sitelinks.jsonl")
+    evaluate.add_argument("--root", required=True, help="folder of language pairs")
+    evaluate.add_argument("--output", required=True, help="folder of reports, OUTPUT/xx_yy/REPORT")
+    evaluate.add_argument("--pair", nargs=2, action="append", metavar=("L1", "L2"), help="only this pair; may be given again")
+    evaluate.add_argument("--force", action="store_true", help="make reports again that are there")
     return top
 
 
+def run_evaluate(args: argparse.Namespace) -> int:
+    from polynym.plans.evaluation import evaluate
+    from polynym.session import session
+    from polynym.sources.entities import read_sitelinks
+    from polynym.sources.sinks import write_report
+
+    folders = sorted(p.parent for p in Path(args.root).glob("*_*/sitelinks.jsonl"))
+    wanted = {"_".join(p) for p in args.pair or []}
+    for folder in [f for f in folders if not wanted or f.name in wanted]:
+        target = Path(args.output) / folder.name
+        if target.exists() and not args.force:
+            continue
+        l1, _, l2 = folder.name.partition("_")
+        for name, report in evaluate(read_sitelinks(session(), str(folder / "sitelinks.jsonl")), l1, l2).items():
+            write_report(report, str(target / name))
+        print(f"Reports: {target}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     top = parser()
     args = top.parse_args(argv)
+    if args.command == "evaluate":
+        return run_evaluate(args)
     if args.command != "resolve":
         top.print_help()
         return 0

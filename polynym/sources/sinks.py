@@ -49,10 +49,14 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+# Fixed value: the heading of the text report.
+HEADING = "Cross-Lingual Entity Resolution — Language Pair Report"
+
+
 def language_summary(report: DataFrame) -> list[str]:
     """The text form of a language report: pairs in order, the overall line last. One short line per pair."""
     line = F.format_string("  %-12s  P=%.3f  R=%.3f  F1=%.3f", "pair", "precision", "recall", "f1")
     rows = report.select("pair", line.alias("line")).orderBy("pair").collect()
     pairs = [r.line for r in rows if r.pair != "overall"]
     overall = [x for r in rows if r.pair == "overall" for x in ("-" * 55, r.line)]
-    return ["Cross-Lingual Entity Resolution — Language Pair Report", "=" * 55, *pairs, *overall]
+    return [HEADING, "=" * 55, *pairs, *overall]
