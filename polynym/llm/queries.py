@@ -86,7 +86,7 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), blocks=4, agree=2, within=10, similarity=0.8, windows=8)
+    return fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), blocks=8, similarity=0.8)
 
 
 QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op3_prefix_free, op4_simhash_near_dedup, op5_epsilon_grid, op6_token_counts, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
