@@ -105,7 +105,12 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Parsed:
-    """One stream read back; the arrays have an element for each elementary packet."""
+    """One elementary stream read back; the arrays have an element for each elementary packet.
+
+    ``damaged`` marks packets that end early, because transport packets were lost;
+    what arrived of them before the loss is in ``payload``. ``streams`` lists
+    (program, pid, type) of all elementary streams that the tables name.
+    """
 
     payload: bytes
     program: int
@@ -116,66 +121,122 @@ class Parsed:
     pts: np.ndarray
     offset: np.ndarray
     random_access: np.ndarray
-
-
-def _sections(packets: np.ndarray, start: np.ndarray) -> Iterator[bytes]:
-    """Whole sections with a right checksum, of those that begin in a packet."""
-    for row, at in zip(packets, start.tolist(), strict=True):
-        data = row.tobytes()
-        begin = at + 1 + data[at]
-        size = 3 + ((data[begin + 1] & 15) << 8 | data[begin + 2])
-        section = data[begin : begin + size]
-        if len(section) == size and crc32_mpeg(section) == 0:
-            yield section
-
-
-def demux(stream: bytes) -> Parsed:
-    """Parse a transport stream; it must begin on a packet and name one elementary stream."""
+    damaged: np.ndarray
+    streams: list[tuple[int, int, int]]
+
+
+def _sections(rows: np.ndarray, start: np.ndarray, begins: np.ndarray, breaks: np.ndarray) -> Iterator[bytes]:
+    """Whole sections with a right checksum; they may run over several packets, and several may share one."""
+    lost = set(breaks.tolist())
+    buffer: bytes | None = None
+    for k, (row, at, begin) in enumerate(zip(rows, start.tolist(), begins.tolist(), strict=True)):
+        data = row[at:].tobytes()
+        if k in lost:
+            buffer = None
+        parts = [(buffer, data)]
+        if begin:
+            pointer = data[0] + 1 if data else 1
+            parts = [(buffer, data[1:pointer]), (b"", data[pointer:])]
+        for held, more in parts:
+            buffer = None if held is None else held + more
+            while buffer and len(buffer) >= 3 and buffer[0] != 0xFF:
+                size = 3 + ((buffer[1] & 15) << 8 | buffer[2])
+                if len(buffer) < size:
+                    break
+                if crc32_mpeg(buffer[:size]) == 0:
+                    yield buffer[:size]
+                buffer = buffer[size:]
+            if buffer and buffer[0] == 0xFF:  # what follows is filling
+                buffer = None
+
+
+def _continuous(rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For the packets of one pid: (those that do not repeat the one before, breaks, errors).
+
+    A break stands before a packet, of those that stay, that does not continue
+    the counter; it is an error unless the packet is flagged as discontinuous.
+    """
+    keep = np.ones(len(rows), dtype=bool)
+    alike = np.flatnonzero((rows[1:, 3] == rows[:-1, 3]) & (start[1:] == start[:-1])) + 1
+    for k in alike.tolist():  # a repeated packet may differ in its clock only
+        keep[k] = (rows[k, start[k] :] != rows[k - 1, start[k] :]).any() or (rows[k, 1:3] != rows[k - 1, 1:3]).any()
+    left = rows[keep]
+    counter = left[:, 3] & 15
+    breaks = np.flatnonzero(((counter[1:] - counter[:-1]) & 15) != 1) + 1
+    told = ((left[breaks, 3] & 0x20) > 0) & (left[breaks, 4] > 0) & ((left[breaks, 5] & 0x80) > 0)
+    return keep, breaks, int((~told).sum())
+
+
+def demux(stream: bytes, program: int | None = None, pid: int | None = None) -> Parsed:
+    """Parse a transport stream, which must begin on a packet; of its elementary streams, read the first.
+
+    ``program`` and ``pid`` choose another. Repeated packets are dropped. A lost
+    packet ends the elementary packet it belongs to: that one is marked as
+    damaged, and no byte of another takes the place of what is missing.
+    """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
     p = np.frombuffer(stream, dtype=np.uint8).reshape(-1, PACKET)
     if (p[:, 0] != SYNC).any():
         raise ValueError("lost synchronisation")
-    pid = (p[:, 1] & 0x1F).astype(np.int32) << 8 | p[:, 2]
-    adapted, carries = (p[:, 3] & 0x20) > 0, (p[:, 3] & 0x10) > 0
-    start = 4 + np.where(adapted, p[:, 4].astype(np.int32) + 1, 0)
-    begins = (p[:, 1] & 0x40) > 0
-
-    def first_section(wanted: int, table: int) -> bytes:
-        which = np.flatnonzero((pid == wanted) & begins & carries)
-        for k in which:  # as a rule the first one is whole
-            for s in _sections(p[k : k + 1], start[k : k + 1]):
-                if s[0] == table:
-                    return s
-        raise ValueError(f"no table {table}")
-
-    pat = first_section(PAT_PID, 0)
-    program, pmt_pid = next((int.from_bytes(pat[k : k + 2], "big"), int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF) for k in range(8, len(pat) - 4, 4) if pat[k : k + 2] != b"\0\0")
-    pmt = first_section(pmt_pid, 2)
-    at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-    kind, es = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-
-    errors = 0
-    for one in (PAT_PID, pmt_pid, es):
-        cc = p[(pid == one) & carries, 3] & 15
-        errors += int((((cc[1:] - cc[:-1]) & 15) != 1).sum())
-    mine = (pid == es) & carries
-    rows, start, begins, adapted = p[mine], start[mine], begins[mine], adapted[mine]
+    pids = (p[:, 1] & 0x1F).astype(np.int32) << 8 | p[:, 2]
+    carries = (p[:, 3] & 0x10) > 0
+    starts = np.minimum(4 + np.where((p[:, 3] & 0x20) > 0, p[:, 4].astype(np.int32) + 1, 0), PACKET)
+
+    def packets(wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """(packets, starts of their data, whether a unit begins, breaks, errors) of one pid."""
+        mine = (pids == wanted) & carries
+        rows, start = p[mine], starts[mine]
+        keep, breaks, errors = _continuous(rows, start)
+        rows, start = rows[keep], start[keep]
+        return rows, start, (rows[:, 1] & 0x40) > 0, breaks, errors
+
+    def table(wanted: int, kind: int, number: int | None = None) -> tuple[bytes, int]:
+        *found, errors = packets(wanted)
+        for s in _sections(*found):
+            if s[0] == kind and number in (None, int.from_bytes(s[3:5], "big")):
+                return s, errors
+        raise ValueError(f"no table {kind}")
+
+    pat, errors = table(PAT_PID, 0)
+    programs = [(n, int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF) for k in range(8, len(pat) - 4, 4) if (n := int.from_bytes(pat[k : k + 2], "big"))]
+    streams: list[tuple[int, int, int]] = []
+    for number, pmt_pid in programs:
+        pmt, more = table(pmt_pid, 2, number)
+        errors += more
+        at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+        while at < len(pmt) - 4:
+            streams.append((number, int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF, pmt[at]))
+            at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
+    chosen = next((s for s in streams if program in (None, s[0]) and pid in (None, s[1])), None)
+    if chosen is None:
+        raise ValueError("no such elementary stream")
+    rows, start, begins, breaks, more = packets(chosen[1])
     size = PACKET - start
     data = rows[np.arange(PACKET) >= start[:, None]].tobytes()
-    place = np.cumsum(size) - size
+    place = np.append(0, np.cumsum(size))
     heads = np.flatnonzero(begins)
-    access = adapted[heads] & (rows[heads, 4] > 0) & ((rows[heads, 5] & 0x40) > 0)
-    parts, pts = [], []
-    for a, b in zip(place[heads].tolist(), [*place[heads[1:]].tolist(), len(data)], strict=True):
-        if data[a : a + 3] != b"\0\0\1":
+    until = np.append(heads[1:], len(rows)) if len(heads) else heads
+    # A unit ends before the first break in it.
+    stop = np.minimum(until, np.append(breaks, len(rows))[np.searchsorted(breaks, heads + 1)])
+    access = ((rows[heads, 3] & 0x20) > 0) & (rows[heads, 4] > 0) & ((rows[heads, 5] & 0x40) > 0)
+    parts, pts, damaged = [], [], []
+    for a, b, whole in zip(place[heads].tolist(), place[stop].tolist(), (stop == until).tolist(), strict=True):
+        unit = data[a:b]
+        if unit[:3] != b"\0\0\1":
             raise ValueError("no elementary packet where one should start")
-        t = data[a + 9 : a + 14] if data[a + 7] & 0x80 else None
+        if len(unit) < 9 or len(unit) < 9 + unit[8]:
+            parts.append(b"")
+            pts.append(-1)
+            damaged.append(True)
+            continue
+        t = unit[9:14] if unit[7] & 0x80 else None
         pts.append(-1 if t is None else (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
-        length = int.from_bytes(data[a + 4 : a + 6], "big")
-        parts.append(data[a + 9 + data[a + 8] : a + 6 + length if length else b])
+        length = int.from_bytes(unit[4:6], "big")
+        parts.append(unit[9 + unit[8] : 6 + length if length else None])
+        damaged.append(len(unit) < 6 + length if length else not whole)
     lengths = np.array([len(x) for x in parts], dtype=np.int64)
-    return Parsed(b"".join(parts), program, es, kind, len(p), errors, np.array(pts, dtype=np.int64), np.cumsum(lengths) - lengths, access)
+    return Parsed(b"".join(parts), chosen[0], chosen[1], chosen[2], len(p), errors + more, np.array(pts, dtype=np.int64), np.cumsum(lengths) - lengths, access, np.array(damaged, dtype=bool), streams)
 
 
 def mux_batches(batches: Batches) -> Batches:
@@ -188,10 +249,16 @@ def mux_batches(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+#: The columns that parsing adds.
+PARSED = "payload binary, program int, pid int, stream_type int, packets long, continuity_errors long, pts array<long>, unit_offset array<long>, random_access array<boolean>, damaged array<boolean>"
+FOUND = [c.split()[0] for c in PARSED.split(", ")]
+
+
 def demux_batches(batches: Batches) -> Batches:
     """Adds to (.., media) what parsing finds: payload, program, counters, times and random-access points."""
     for batch in batches:
         found = [demux(x.as_py()) for x in batch.column("media")]
+        batch = batch.select([n for n in batch.schema.names if n not in FOUND])
         for name, kind, of in (
             ("payload", pa.binary(), lambda s: s.payload),
             ("program", pa.int32(), lambda s: s.program),
@@ -202,6 +269,7 @@ def demux_batches(batches: Batches) -> Batches:
             ("pts", pa.list_(pa.int64()), lambda s: s.pts),
             ("unit_offset", pa.list_(pa.int64()), lambda s: s.offset),
             ("random_access", pa.list_(pa.bool_()), lambda s: s.random_access),
+            ("damaged", pa.list_(pa.bool_()), lambda s: s.damaged),
         ):
             batch = batch.append_column(name, pa.array([of(s) for s in found], kind))
         yield batch
@@ -234,13 +302,10 @@ def mux_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(mux_batches, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
-PARSED = "payload binary, program int, pid int, stream_type int, packets long, continuity_errors long, pts array<long>, unit_offset array<long>, random_access array<boolean>"
-
-
 def demux_column(streams: DataFrame) -> DataFrame:
-    """``streams`` (with a column ``media``, not null) and what parsing it finds."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in streams.dtypes)
-    return streams.mapInArrow(demux_batches, f"{schema}, {PARSED}")
+    """``streams`` (with a column ``media``, not null) and what parsing it finds; columns of these names are replaced."""
+    schema = "".join(f"`{n}` {t}, " for n, t in streams.dtypes if n not in FOUND)
+    return streams.mapInArrow(demux_batches, schema + PARSED)
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
