@@ -12,6 +12,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -97,15 +98,20 @@ def _uuid(*parts: object) -> str:
 
 
 def _safe(value: str) -> str:
-    """A header value on one line."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in value for c in "%\r\n") else value
+    """A URI on one line; escapes that it has stay as they are."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _id(value: object) -> str:
+    """An id on one line; ``unquote`` gives it back."""
+    return str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
 def _response(page_id, uri: str, payload: bytes, digest: str) -> bytes:
     block = HTTP % len(payload) + payload
     headers = [("WARC-Type", "response"), ("WARC-Record-ID", _uuid("response", page_id, uri, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response")]
     if page_id is not None:
-        headers.append(("X-Page-ID", str(page_id)))
+        headers.append(("X-Page-ID", _id(page_id)))
     return record(headers, block)
 
 
@@ -137,10 +143,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, "folder string, file string"), "warc-files")
 
 
+def _by_file(rows: DataFrame, files: int) -> DataFrame:
+    """``rows`` dealt out by file, in so many partitions that most hold one file; a number given is not merged by adaptive execution."""
+    return rows.repartition(max(1, 2 * files), "file")
+
+
 def _headers(name: str, at: int, size: int, h: dict[str, str], number: bool) -> tuple:
     page = h.get("x-page-id")
     refers = h.get("x-refers-to-page-id")
-    cast = (lambda v: int(v) if v is not None else None) if number else (lambda v: v)
+    cast = (lambda v: int(v) if v is not None else None) if number else (lambda v: unquote(v) if v is not None else None)
     return name, at, size, h["warc-type"], h["warc-record-id"], h.get("warc-target-uri", ""), cast(page), h["warc-payload-digest"].removeprefix("sha256:"), int(h["x-payload-length"]), cast(refers)
 
 
@@ -171,7 +182,7 @@ def read_headers(files: DataFrame, id_type: str = "bigint") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     kind = "bigint" if number else "string"
-    spread = files.repartition(F.col("file"))
+    spread = _by_file(files, files.count())
     return spread.mapInArrow(run, f"file string, offset long, size long, type string, record_id string, uri string, page_id {kind}, digest string, length long, refers_to {kind}")
 
 
@@ -191,8 +202,8 @@ def resolve(headers: DataFrame, least: int = 100) -> DataFrame:
     return joined.select("file", "offset", "size", F.when(revisit, F.struct("first.page_id", "first.record_id", "first.uri")).alias("original"))
 
 
-def write_resolved(source: str, decisions: DataFrame, folder: str) -> DataFrame:
-    """Write the records again with fresh headers: responses whole, revisits without payload."""
+def write_resolved(source: str, decisions: DataFrame, folder: str, files: int) -> DataFrame:
+    """Write the records of ``files`` archives again with fresh headers: responses whole, revisits without payload."""
 
     def run(batches: Batches) -> Batches:
         out, opened, stream = _Writer(folder), None, None
@@ -204,18 +215,18 @@ def write_resolved(source: str, decisions: DataFrame, folder: str) -> DataFrame:
                 h, block = parse(zlib.decompress(stream.read_at(size, at), 31))
                 if original is None:
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    out.add(_response(h.get("x-page-id"), h.get("warc-target-uri", ""), payload, h["warc-payload-digest"].removeprefix("sha256:")))
+                    out.add(_response(unquote(h["x-page-id"]) if "x-page-id" in h else None, h.get("warc-target-uri", ""), payload, h["warc-payload-digest"].removeprefix("sha256:")))
                     continue
                 headers = [("WARC-Type", "revisit"), ("WARC-Record-ID", _uuid("revisit", h["warc-record-id"], name, at)), ("WARC-Date", DATE), ("WARC-Target-URI", h.get("warc-target-uri", "")), ("WARC-Profile", PROFILE), ("WARC-Refers-To", original["record_id"]), ("WARC-Refers-To-Target-URI", original["uri"]), ("WARC-Payload-Digest", h["warc-payload-digest"]), ("X-Payload-Length", h["x-payload-length"]), ("Content-Type", "application/http; msgtype=response")]
                 headers += [("X-Page-ID", h["x-page-id"])] if "x-page-id" in h else []
-                headers += [("X-Refers-To-Page-ID", str(original["page_id"]))] if original["page_id"] is not None else []
+                headers += [("X-Refers-To-Page-ID", _id(original["page_id"]))] if original["page_id"] is not None else []
                 out.add(record(headers, HTTP % int(h["x-payload-length"])))
         out.close()
         if out.names:
             yield pa.RecordBatch.from_arrays([pa.array([folder] * len(out.names)), pa.array(out.names)], ["folder", "file"])
 
     # A file has FILE_RECORDS records at most, so a piece of work is bounded and in the order of its places.
-    placed = decisions.repartition(F.col("file")).sortWithinPartitions("file", "offset")
+    placed = _by_file(decisions, files).sortWithinPartitions("file", "offset")
     return materialize(placed.mapInArrow(run, "folder string, file string"), "warc-files")
 
 
@@ -230,6 +241,17 @@ def dedup_archives(pages: DataFrame, least: int = 100) -> DataFrame:
     spark = pages.sparkSession
     kind = dict(pages.dtypes)["page_id"]
     raw, fresh = _new_folder(spark, "warc"), _new_folder(spark, "warc-resolved")
-    headers = materialize(read_headers(write_archives(pages, raw), kind), "warc-headers")
-    found = read_headers(write_resolved(raw, resolve(headers, least), fresh), kind)
+    written = write_archives(pages, raw)
+    headers = materialize(read_headers(written, kind), "warc-headers")
+    found = read_headers(write_resolved(raw, resolve(headers, least), fresh, written.count()), kind)
     return found.select(F.col("page_id").cast(kind), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast(kind), "file")
+
+
+def oracle(least: int, table: str = "pages") -> str:
+    """DuckDB SQL for the same rows of ``dedup_archives`` but ``file``, for ids that are not null and not repeated."""
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM {table}),
+f AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= {least} GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.original <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.original <> p.page_id THEN f.original END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND p.payload_bytes >= {least}"""

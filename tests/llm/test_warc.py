@@ -37,3 +37,22 @@ def test_revisits(spark):
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.dedup_archives(pages.where("false")).count() == 0
+
+
+def test_uris_and_string_ids(spark):
+    rows = [("a%20b\r\nX: y", "http://a/b%20c", "p" * 200), ("b", "http://a/\r\nEvil: 1", "p" * 200), ("ü", "http://ü/?q=%C3%BC", "short")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    folder = warc._new_folder(spark, "uris")
+    found = warc.read_headers(warc.write_archives(pages, folder), "string").collect()
+    assert sorted((r.page_id, r.uri) for r in found) == [("a%20b\r\nX: y", "http://a/b%20c"), ("b", "http://a/%0D%0AEvil: 1"), ("ü", "http://ü/?q=%C3%BC")]
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.dedup_archives(pages).collect())
+    assert got == [("a%20b\r\nX: y", "response", None), ("b", "revisit", "a%20b\r\nX: y"), ("ü", "response", None)]
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    """One partition for about each file, whatever adaptive execution would merge."""
+    pages = spark.range(100).selectExpr("id page_id", "concat('http://h/', id) url", "repeat('x', 200) html").repartition(20)
+    files = warc.write_archives(pages, warc._new_folder(spark, "many"))
+    headers = warc.read_headers(files)
+    assert files.count() == 20 and headers.rdd.getNumPartitions() == 2 * files.count()
+    assert headers.count() == 100
