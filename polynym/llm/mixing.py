@@ -39,7 +39,7 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.
     """
     if min([default_weight, *weights.values()]) < 0:
         raise ValueError("a weight is negative")
-    name = F.coalesce(F.col("source"), F.lit(""))
+    name = F.coalesce(F.col("source").cast("string"), F.lit(""))
     weight = F.lit(float(default_weight))
     for source, w in sorted(weights.items()):
         weight = F.when(F.col("mix_source") == source, F.lit(float(w))).otherwise(weight)
@@ -54,27 +54,28 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float], default_weight: floa
 
     A row's count inverts the Poisson distribution with its source's mean at a
     uniform number hashed from seed, ``doc_id`` and text, so it does not depend
-    on partitions, and a lost task gives the same rows again. A null source is a
-    source of its own; null ids and texts hash as empty strings; repeated rows
-    get equal counts; an empty table gives an empty one. A column named ``copy``
-    of the input is replaced. Rows are dealt to partitions and ordered in them
+    on partitions, and a lost task gives the same rows again. A null source counts
+    as the empty one; null ids and texts hash as empty strings; repeated rows get
+    equal counts; an empty table gives an empty one. A column named ``copy`` of
+    the input is replaced; others, whatever their names, stay as they were. Rows are dealt to partitions and ordered in them
     by a hash, so no source, however large, meets in one task.
     """
     found = rates(docs, weights, default_weight, epochs)
     parts = F.greatest(F.lit(1), F.ceil(F.col("mean") / LARGEST_MEAN)).cast("int")
-    table = found.select("mix_source", parts.alias("mix_parts"), _cumulative(F.col("mean") / parts).alias("mix_cdf"))
+    table = found.select("mix_source", parts.alias("parts"), _cumulative(F.col("mean") / parts).alias("cdf"))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
+    # The input's row stays in one column, so that its names can't clash with those made here.
     columns = [c for c in docs.columns if c != "copy"]
-    keyed = docs.select(*columns, F.coalesce("source", F.lit("")).alias("mix_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mix_text"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda j: F.size(F.filter("mix_cdf", lambda c: c <= _uniform(seed, j.cast("string"), F.col("mix_id"), F.col("mix_text")))))
-    one = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
-    counted = keyed.join(table, "mix_source").withColumn("mix_u", _uniform(seed, F.lit("1"), F.col("mix_id"), F.col("mix_text")))
-    counted = counted.withColumn("mix_count", F.when(F.col("mix_parts") == 1, one).otherwise(F.aggregate(draws, F.lit(0), lambda a, x: a + x)))
-    copies = counted.where("mix_count > 0").select(*columns, "mix_id", "mix_text", F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
-    order = F.xxhash64(F.lit(seed), "mix_id", "mix_text", "copy")
-    dealt = copies.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")
-    return dealt.select(*columns, F.col("copy").cast("int").alias("copy"))
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text.alias("digest"))
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: F.size(F.filter("cdf", lambda c: c <= _uniform(seed, j.cast("string"), F.col("id"), F.col("digest")))))
+    one = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    counted = keyed.join(table, "mix_source").withColumn("u", _uniform(seed, F.lit("1"), F.col("id"), F.col("digest")))
+    counted = counted.withColumn("times", F.when(F.col("parts") == 1, one).otherwise(F.aggregate(draws, F.lit(0), lambda a, x: a + x)))
+    copies = counted.where("times > 0").select("row", "id", "digest", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    dealt = copies.select("row", "copy", F.xxhash64(F.lit(seed), "id", "digest", "copy").alias("order")).repartition("order").sortWithinPartitions("order")
+    return dealt.select(*(F.col("row")[c].alias(c) for c in columns), F.col("copy").cast("int").alias("copy"))
 
 
 def oracle(weights: dict[str, float], default_weight: float, epochs: float, seed: int, columns: str, table: str = "documents") -> str:

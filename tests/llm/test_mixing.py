@@ -41,3 +41,12 @@ def test_edges(spark):
     assert mixing.poisson_mix(df, {"a": 0.0}).where("source = 'a'").count() == 0
     with pytest.raises(ValueError):
         mixing.poisson_mix(df, {"a": -1.0})
+
+
+def test_clashing_columns(spark):
+    df = docs(spark)
+    more = df.selectExpr("*", *(f"'own' AS {c}" for c in ("mix_source", "mix_id", "mix_text", "row", "id", "digest", "parts", "cdf", "u", "times", "order", "n", "mean")))
+    got = mixing.poisson_mix(more, W, 0.5)
+    assert got.columns == [*(c for c in more.columns if c != "copy"), "copy"]
+    assert {(r.mix_source, r.order, r.u) for r in got.collect()} == {("own", "own", "own")}
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in mixing.poisson_mix(df, W, 0.5).collect())
