@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from polynym.llm import epsilon_grid, fuzzy_lines, mixing, prefix_free, quality_crf, sentencepiece_spans, simhash, token_counts, transport_stream, warc
+from polynym.operators.materialize import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +71,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"), _model("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return token_counts.suffix_sums(token_counts.histogram(lengths))
+    return token_counts.suffix_sums(materialize(token_counts.histogram(lengths), "lengths"))
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_poisson_mix": mixing.oracle(WEIGHTS, 1.0, 1.0, 42, "doc_id, text, lang, source, n_chars")}
+    return {
+        "op7_warc_revisits": warc.oracle(100),
+        "op8_poisson_mix": mixing.oracle(WEIGHTS, 1.0, 1.0, 42, "doc_id, text, lang, source, n_chars"),
+    }
