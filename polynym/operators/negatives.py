@@ -38,13 +38,23 @@ def adversarial_negatives(pairs: DataFrame, most: int = 5, per_row: int = 3) ->
 
     Ties go to earlier rows. Distances are computed per distinct pair of titles
     whose lengths differ by ``most`` at most; candidates share a length cell.
+    Rows are cut before they are joined: whatever qid is left out, the nearest
+    ``per_row`` rows of others are among the first ``per_row`` of each qid, and of
+    these among the first ``2 * per_row``. So a title has that many candidates.
     """
+
+    def leading(df: DataFrame, title: str, order: list[str]) -> DataFrame:
+        of_qid = df.withColumn("_k", F.row_number().over(Window.partitionBy(title, "q_qid").orderBy(*order))).where(F.col("_k") <= per_row)
+        return of_qid.withColumn("_k", F.row_number().over(Window.partitionBy(title).orderBy(*order))).where(F.col("_k") <= 2 * per_row).drop("_k")
+
     width = most + 1
     titles = pairs.select("l1_title").where("l1_title is not null").distinct().withColumn("cell", F.floor(F.length("l1_title") / width))
     near = titles.select(F.col("l1_title").alias("other"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     close = titles.join(near, "cell").withColumn("d", levenshtein_within(F.col("l1_title"), F.col("other"), most)).where("d is not null").select("l1_title", "other", "d")
-    q = pairs.select(F.col("l1_title").alias("other"), F.col("qid").alias("q_qid"), F.col("idx").alias("q_idx"), F.col("l2_title").alias("q_l2"), F.col("bucket").alias("q_bucket"))
-    found = pairs.select("idx", "qid", "l1_title", "bucket").join(close, "l1_title").join(q, "other").where("qid <> q_qid")
+    rows = pairs.select(F.col("l1_title").alias("other"), F.col("qid").alias("q_qid"), F.col("idx").alias("q_idx"), F.col("l2_title").alias("q_l2"), F.col("bucket").alias("q_bucket"))
+    q = leading(rows.where("other is not null and q_qid is not null"), "other", ["q_idx"])
+    candidates = leading(close.join(q, "other").drop("other"), "l1_title", ["d", "q_idx"])
+    found = pairs.select("idx", "qid", "l1_title", "bucket").join(candidates, "l1_title").where("qid <> q_qid")
     first = Window.partitionBy("idx").orderBy("d", "q_idx")
     best = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_row)
     return best.select("idx", "rank", "l1_title", F.col("q_l2").alias("l2_title"), F.col("bucket").alias("bucket_positive"), F.col("q_bucket").alias("bucket_negative"), F.col("qid").alias("positive_qid"), F.col("q_qid").alias("negative_qid"), F.col("d").alias("l1_levenshtein"), F.lit("negative").alias("label"))
