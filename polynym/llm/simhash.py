@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polynym.llm import shingle_sets
 from polynym.operators.components import connected_components
 from polynym.operators.materialize import materialize
 
@@ -215,11 +216,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_diff: int = 4, id_col:
     return hashed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, max_diff: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, max_diff: int = 4, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group, its smallest ``doc_id`` stays.
 
-    Rows that repeat one ``doc_id`` are one document and share its fate; rows
-    without ``doc_id`` stay. All columns are returned as they were.
+    Groups by SimHash go first: fingerprints of ``width``-word shingles that link
+    at ``max_diff`` bits, which settles exact and closest copies however many
+    there are. A SimHash of 64 bits can't tell a similarity of 0.8 from none, so
+    of the rest, groups with an exact Jaccard similarity of ``similarity`` or more
+    of their shingles go too. Rows that repeat one ``doc_id`` are one document
+    and share its fate; rows without ``doc_id`` stay. All columns are returned as
+    they were.
     """
-    gone = near_duplicates(docs, width, max_diff).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = near_duplicates(docs, width, max_diff).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    left = materialize(docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select(docs.columns), "simhash-left")
+    return shingle_sets.keep_one(left, width, similarity)
