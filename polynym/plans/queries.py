@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polynym.functions.script import detect_script
+from polynym.functions.script import detect_script, is_same_script
 from polynym.functions.similarity import char_ngrams, cosine
 from polynym.functions.text import id_from_uri, language_pair, normalize_for_matching, normalize_title, strip_diacritics
 from polynym.functions.translit import transliterate_to_latin
@@ -77,6 +77,46 @@ def name_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return names.select("p_name", F.explode(char_ngrams(F.lower("p_name"))).alias("gram")).groupBy("p_name", "gram").agg(F.count("*").alias("tf"))
 
 
+# Letters that are written as one letter each, and how the queries respell names in other scripts.
+LETTERS, CYRILLIC = "abvgdziklmnoprstufye", "абвгдзиклмнопрстуфйэ"
+HANGUL = "".join(chr(0xAC00 + 28 * k) for k in range(len(LETTERS)))
+ARABIC = "".join(chr(c) for c in range(0x627, 0x627 + len(LETTERS)))
+
+
+def _respelt(spark: SparkSession, d: str) -> DataFrame:
+    """Part names, less all other letters (``plain``), and as Latin, Cyrillic, Hangul or Arabic by turns."""
+    plain = F.regexp_replace("p_name", f"[^{LETTERS} ]", "")
+    turn = F.col("p_partkey") % 4
+    text = F.when(turn == 1, F.translate(plain, LETTERS, CYRILLIC)).when(turn == 2, F.translate(plain, LETTERS, HANGUL)).when(turn == 3, F.translate(plain, LETTERS, ARABIC)).otherwise(plain)
+    return _t(spark, d, "part").select("p_partkey", plain.alias("plain"), text.alias("text"))
+
+
+def respelt_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return _respelt(spark, d).select("p_partkey", detect_script(F.col("text")).alias("script"), is_same_script(F.col("text"), F.col("plain")).alias("same"))
+
+
+def respelt_latin(spark: SparkSession, d: str) -> DataFrame:
+    rows = _respelt(spark, d).where("p_partkey % 4 < 2")
+    return rows.select("p_partkey", transliterate_to_latin(F.col("text"), F.lit("ru"), spark).alias("latin"))
+
+
+def behaviour(spark: SparkSession, d: str) -> DataFrame:
+    rows = _respelt(spark, d).where("p_partkey % 4 < 2").select(F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("l2_title"))
+    return reports.transliteration_behaviour(rows)
+
+
+def cross_script_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers 0, 3 and 4: names against themselves in capitals, in Cyrillic, in Cyrillic with the words swapped, and against nothing."""
+    part = _respelt(spark, d)
+    turn, plain = F.col("p_partkey") % 4, F.col("plain")
+    cyrillic = F.translate(plain, LETTERS, CYRILLIC)
+    swapped = F.concat(F.substring_index(plain, " ", -1), F.lit(" "), F.substring_index(plain, " ", 1))
+    a = F.when(turn == 0, F.upper(plain)).when(turn == 3, F.lit("")).otherwise(cyrillic)
+    b = F.when(turn == 2, swapped).otherwise(plain)
+    pairs = part.select(a.alias("name_a"), b.alias("name_b"), F.when(turn == 0, "en").otherwise("ru").alias("lang_a"), F.lit("en").alias("lang_b"), F.lit("").alias("type_a"), F.lit("").alias("type_b")).distinct()
+    return TIERS.match_pairs(pairs).select("name_a", "name_b", "is_match", "tier", "method", _r("score", "score"))
+
+
 # -- pairs and clusters ----------------------------------------------------
 
 
@@ -134,8 +174,11 @@ def gold_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors and, of each, a second one without its first component, so that there are near pairs to find."""
     rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("kid"), F.col("label").cast("string").alias("etype"), F.col("embedding").alias("vector"))
-    return Cascade(tier4=0.95, backend="vector").last_links(rows).select("src", "dst", _r("score", "score"))
+    first = F.lit(0).cast("float")
+    other = rows.select((F.col("kid") + 1_000_000).alias("kid"), "etype", F.concat(F.array(first), F.slice("vector", F.lit(2), F.size("vector") - 1)).alias("vector"))
+    return Cascade(tier4=0.95, backend="vector").last_links(rows.union(other)).select("src", "dst", _r("score", "score"))
 
 
 def label_centre_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +219,25 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("idx", "positive", "l1", "l2", "bucket", "t3_hit", _r("t4_score", "t4_score"), "same_script")
 
 
+def missed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = reports.missed_by_both(_scored(spark, d))
+    return found.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("ascii").alias("ascii"), F.count_if("has_latin").alias("latin"), F.count_if("has_kana").alias("kana"))
+
+
+def spacing(spark: SparkSession, d: str) -> DataFrame:
+    """Second titles as they are, and with a space after the first letter."""
+    pairs = _pairs(spark, d).withColumn("spaced", F.regexp_replace("l2_title", "^(.)(.)", "$1 $2"))
+    found = reports.spacing_effect(pairs, "l1_title", "l2_title", "spaced")
+    return found.select(_r("standard_recall", "standard_recall"), _r("spaced_recall", "spaced_recall"), "spaced_only", "standard_only", "missed", "near", "far")
+
+
+def report_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """What a lower threshold changes in each bucket's outcomes."""
+    pos = _scored(spark, d).where("positive")
+    before, after = (reports.outcomes(pos, F.lit(t), ["bucket"]) for t in (0.75, 0.6))
+    return reports.deltas(before, after, "bucket", ["both", "t4_only", "neither"])
+
+
 def _rates(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*extra, "tier", "tp", "fp", "tn", "fn", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"))
 
@@ -277,6 +339,7 @@ def labels_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     normalize_names, diacritics, title_normalize, url_tail, script_profile, language_pairs, transliterate_pins, name_trigrams, jw_pairs, trigram_cosine_pairs, cascade_pairs,
+    respelt_scripts, respelt_latin, behaviour, cross_script_cascade, missed_pairs, spacing, report_deltas,
     resolve_labels, resolve_clusters, cluster_sizes, gold_members, dense_pairs, label_centre_cosine, hard_negatives, lev_negatives, scored_pairs, confusion_by_tier, per_bucket_f1,
     tier_winner, f1_heatmap, threshold_sweep, outcomes_by_bucket, t3_only_stats, topk_low, near_threshold, pairwise_prf, cluster_prf, lang_pair_report, sitelink_pairs, stratified_extract, labels_pivot,
 )
@@ -306,6 +369,7 @@ def _cos(a: str, b: str) -> str:
     return f"coalesce((SELECT sum(x.tf * y.tf) FROM grams x JOIN grams y USING (gram) WHERE x.nm = {a} AND y.nm = {b}), 0) / (sqrt((SELECT sq FROM norms WHERE nm = {a})) * sqrt((SELECT sq FROM norms WHERE nm = {b})))"
 
 
+PLAIN = f"regexp_replace(p_name, '[^{LETTERS} ]', '', 'g')"
 PART_NAMES = "names AS (SELECT p_name AS nm, min(p_partkey) AS kid FROM part GROUP BY 1)"
 PRF = "CASE WHEN p = 0 AND g = 0 THEN 1.0 ELSE coalesce(tp / nullif(p, 0), 0.0) END AS precision, CASE WHEN p = 0 AND g = 0 THEN 1.0 ELSE coalesce(tp / nullif(g, 0), 0.0) END AS recall"
 F1 = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1"
@@ -378,7 +442,22 @@ UNION ALL SELECT a.p_name, b.p_name, a.p_type, b.p_type, false, 1, 'Cascade/type
         "resolve_clusters": f"WITH RECURSIVE {LINKS} SELECT cluster_id, string_agg(id, ',' ORDER BY idx) AS members FROM labelled GROUP BY 1",
         "cluster_sizes": f"WITH RECURSIVE {LINKS} SELECT size, count(*) AS clusters FROM (SELECT cluster_id, count(*) AS size FROM labelled GROUP BY 1) GROUP BY 1",
         "gold_members": "SELECT p_brand AS id, string_agg(p_name, '|' ORDER BY p_partkey) AS names FROM part GROUP BY 1",
-        "dense_pairs": "SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95",
+        "dense_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, label, list_concat([0.0::DOUBLE], (embedding::DOUBLE[])[2:]) FROM embeddings) SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95",
+        "respelt_scripts": "SELECT p_partkey, ['Latin', 'Cyrillic', 'Hangul', 'Arabic'][p_partkey % 4 + 1] AS script, p_partkey % 4 = 0 AS same FROM part",
+        "respelt_latin": f"SELECT p_partkey, {PLAIN} AS latin FROM part WHERE p_partkey % 4 < 2",
+        "behaviour": "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'empty' WHEN p_partkey % 4 = 0 THEN 'passthrough' ELSE 'changed' END AS behaviour, count(*) AS n FROM part WHERE p_partkey % 4 < 2 GROUP BY 1",
+        "cross_script_cascade": f"""WITH t AS (SELECT DISTINCT p_partkey % 4 AS turn, {PLAIN} AS plain FROM part),
+u AS (SELECT turn, CASE turn WHEN 0 THEN upper(plain) WHEN 3 THEN '' ELSE translate(plain, '{LETTERS}', '{CYRILLIC}') END AS name_a, CASE turn WHEN 2 THEN split_part(plain, ' ', -1) || ' ' || split_part(plain, ' ', 1) ELSE plain END AS name_b, jaro_winkler_similarity(plain, name_b) AS jw FROM t)
+SELECT name_a, name_b, CASE turn WHEN 3 THEN false WHEN 2 THEN jw >= 0.82 ELSE true END AS is_match, CASE WHEN turn IN (0, 3) THEN 0 WHEN turn = 1 OR jw >= 0.82 THEN 3 ELSE 4 END AS tier,
+  CASE WHEN turn = 0 THEN 'Cascade/exact' WHEN turn = 3 THEN 'Cascade/empty' WHEN turn = 1 OR jw >= 0.82 THEN 'PhoneticMatcher' ELSE 'EmbeddingMatcher' END AS method,
+  round(CASE WHEN turn = 3 THEN 0.0 WHEN turn IN (0, 1) THEN 1.0 WHEN jw >= 0.82 THEN jw ELSE 0.0 END, 6) AS score FROM u""",
+        "missed_pairs": f"WITH {SCORED} SELECT bucket, count(*) AS n, count(*) AS ascii, count(*) AS latin, CAST(0 AS BIGINT) AS kana FROM scored WHERE NOT t3_hit AND t4_score < 0.75 GROUP BY 1",
+        "spacing": f"""WITH {PAIRS}, j AS (SELECT jaro_winkler_similarity(lower(l1_title), l2_title) AS s, jaro_winkler_similarity(lower(l1_title), regexp_replace(l2_title, '^(.)(.)', '\\1 \\2')) AS t FROM pairs)
+SELECT round(count(*) FILTER (s >= 0.82) / count(*), 6) AS standard_recall, round(count(*) FILTER (t >= 0.82) / count(*), 6) AS spaced_recall, count(*) FILTER (t >= 0.82 AND s < 0.82) AS spaced_only, count(*) FILTER (s >= 0.82 AND t < 0.82) AS standard_only,
+  count(*) FILTER (s < 0.82 AND t < 0.82) AS missed, count(*) FILTER (s < 0.82 AND t < 0.82 AND greatest(s, t) >= 0.7) AS near, count(*) FILTER (s < 0.82 AND t < 0.82 AND greatest(s, t) < 0.5) AS far FROM j""",
+        "report_deltas": f"""WITH {SCORED}, pos AS (SELECT * FROM scored WHERE positive)
+SELECT bucket, count(*) FILTER (t3_hit AND t4_raw >= 0.6) - count(*) FILTER (t3_hit AND t4_raw >= 0.75) AS delta_both, count(*) FILTER (NOT t3_hit AND t4_raw >= 0.6) - count(*) FILTER (NOT t3_hit AND t4_raw >= 0.75) AS delta_t4_only,
+  count(*) FILTER (NOT t3_hit AND t4_raw < 0.6) - count(*) FILTER (NOT t3_hit AND t4_raw < 0.75) AS delta_neither FROM pos GROUP BY 1""",
         "label_centre_cosine": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], first::DOUBLE[]), 6) AS score FROM embeddings JOIN f USING (label)",
         "hard_negatives": f"WITH {NEGATIVES} SELECT idx, l1_title, m.l2 AS l2_title, bucket, qid AS positive_qid, m.o AS negative_qid, round(m.jw, 6) AS l1_jw_to_source, 'negative' AS label FROM best",
         "lev_negatives": f"""WITH {PAIRS}, l AS (SELECT x.t AS a, y.t AS b, levenshtein(x.t, y.t) AS d FROM (SELECT DISTINCT l1_title AS t FROM pairs) x, (SELECT DISTINCT l1_title AS t FROM pairs) y),
