@@ -253,14 +253,19 @@ def decode_batches(model: bytes) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         sp = encoder(model).library
         for batch in batches:
-            flat, ends = batch.column("ids").flatten().to_numpy(), batch.column("ids").offsets.to_numpy()
-            ends = ends - ends[0]
-            texts = [sp.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            texts = [None if ids is None else sp.decode(ids) for ids in _rows(batch.column("ids"))]
+            kept = [n for n in batch.schema.names if n != "decoded"]
+            yield batch.select(kept).append_column("decoded", pa.array(texts, pa.string()))
 
     return run
 
 
+def _rows(lists: pa.ListArray) -> Iterator[list[int] | None]:
+    """Each list, or None for a null one, without a Python object for each Arrow value."""
+    flat, ends, known = lists.values.to_numpy(), lists.offsets.to_numpy().tolist(), lists.is_valid().to_pylist()
+    return (flat[a:b].tolist() if k else None for a, b, k in zip(ends[:-1], ends[1:], known, strict=True))
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -285,6 +290,6 @@ def encode(docs: DataFrame, model_path: str, add_eos: bool = True, id_col: str =
 
 
 def decode(tokens: DataFrame, model_path: str) -> DataFrame:
-    """``tokens`` (doc_id, ids, ...) with the column ``decoded``; null ids are not expected."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in tokens.dtypes) + ", decoded string"
+    """``tokens`` (doc_id, ids, ...) with the column ``decoded``, null where ``ids`` is; a column of that name is replaced."""
+    schema = "".join(f"`{n}` {t}, " for n, t in tokens.dtypes if n != "decoded") + "decoded string"
     return tokens.mapInArrow(decode_batches(read_model(model_path)), schema)

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import public_tokenizers
 import sentencepiece
@@ -50,6 +51,35 @@ def test_character_map_equals_the_library():
             assert len(origin) == len(normal) + 1 and (origin[1:] >= origin[:-1]).all()
 
 
+def _field(number, value):
+    """A length-delimited protobuf field."""
+    size, out = len(value), b""
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return bytes([number << 3 | 2]) + out + bytes([size]) + value
+
+
+def test_spans_through_a_character_map():
+    """The model with a map: later fields of a protobuf message replace or add to earlier ones."""
+    rnd = random.Random(6)
+    normalizer = next(dict(S._fields(v)) for f, v in S._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()) if f == S.NORMALIZER)
+    proto = S.read_model(MODEL) + _field(S.NORMALIZER, _field(S.CHARSMAP, normalizer[S.CHARSMAP]))
+    lib, enc = sentencepiece.SentencePieceProcessor(model_proto=proto), S.Encoder(proto)
+    mapped = 0
+    for text in ["of ﬁve ２３ ℌello", "ＡＢＣ ﬂow ①②", "½ ㎏", *TEXTS, *(random_text(rnd) for _ in range(300))]:
+        ids, starts, ends = enc.encode(text)
+        assert ids.tolist() == lib.encode(text), text
+        raw = text.encode()
+        assert (starts <= ends).all() and (starts[1:] >= starts[:-1]).all() and (not len(ids) or ends[-1] <= len(raw))
+        for i, a, b in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            piece, source = lib.id_to_piece(i), raw[a:b].decode(errors="replace")
+            if piece.isascii() and piece.isalnum() and source and not source.isascii() and "\ufffd" not in source:
+                whole = unicodedata.normalize("NFKC", source)
+                assert piece in whole or whole in piece, (text, piece, source)
+                mapped += 1
+    assert mapped > 5
+
+
 def test_operator(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, None, "y"), (3, "again", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
@@ -60,3 +90,6 @@ def test_operator(spark):
     assert got == want
     assert S.encode(docs.where(F.lit(False)), MODEL).count() == 0
 
+    more = S.encode(docs, MODEL).selectExpr("doc_id", "IF(doc_id = 3, NULL, ids) AS ids", "'old' AS decoded")
+    assert {(r.ids is None, r.decoded is None) for r in S.decode(more, MODEL).collect()} == {(True, True), (False, False)}
+    assert "old" not in {r.decoded for r in S.decode(more, MODEL).collect()}
