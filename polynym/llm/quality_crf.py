@@ -117,16 +117,16 @@ def train(chains: list[np.ndarray], labels: list[int], rounds: int = 80, step: f
     if len(set(labels)) < 2:
         base = 0.0 if not labels else 4.0 if labels[0] else -4.0
         return Model(np.append(np.zeros(dim - 1), base), np.zeros((2, 2)))
-    parts = [(c[k : k + longest], y) for c, y in zip(chains, labels, strict=True) for k in range(0, len(c), longest)]
-    n, size = len(parts), np.array([len(c) for c, _ in parts])
+    parts = [(c[k : k + longest], y, len(c)) for c, y in zip(chains, labels, strict=True) for k in range(0, len(c), longest)]
+    n, size = len(parts), np.array([len(c) for c, *_ in parts])
     x = np.zeros((n, longest, dim))
-    for i, (c, _) in enumerate(parts):
+    for i, (c, *_) in enumerate(parts):
         x[i, : len(c)] = c
-    y = np.array([y for _, y in parts])
+    y = np.array([y for _, y, _ in parts])
     mask = np.arange(longest) < size[:, None]
     flat, at = x[mask], np.flatnonzero(mask.ravel())
-    # every document counts alike, and so do its lines
-    weight = 1 / size
+    # every document counts alike, in however many pieces, and so do its lines
+    weight = 1 / np.array([whole for *_, whole in parts])
     rows = np.repeat(np.arange(n), size)
     w, t = np.zeros(dim), np.zeros((2, 2))
     m, v = np.zeros(dim + 4), np.zeros(dim + 4)
@@ -156,7 +156,7 @@ def train(chains: list[np.ndarray], labels: list[int], rounds: int = 80, step: f
                 beta = np.where(live[:, None], np.stack([np.logaddexp(t[0, 0] + inner[:, 0], t[0, 1] + inner[:, 1]), np.logaddexp(t[1, 0] + inner[:, 0], t[1, 1] + inner[:, 1])], axis=1), beta)
         slope = ((y[rows] - good[mask]) * weight[rows]) @ flat
         seen = np.diag([(pairs * weight)[y == 0].sum(), (pairs * weight)[y == 1].sum()])
-        g = np.concatenate([slope, (seen - edges).ravel()]) / n - l2 * np.concatenate([w, t.ravel()])
+        g = np.concatenate([slope, (seen - edges).ravel()]) / len(chains) - l2 * np.concatenate([w, t.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = step * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
         w, t = w + move[:dim], t + move[dim:].reshape(2, 2)
@@ -223,8 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    # The chosen ids are at most `sample` rows, so broadcasting them is bounded.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    # The chosen ids are at most `sample` rows, so broadcasting them is bounded; of rows that share an id, one is taken.
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("text", "quality")
     got = rows.mapInArrow(feature_batches, "x binary, quality int").collect()
     return train([np.frombuffer(r.x).reshape(-1, 3 * NF + 3) for r in got], [r.quality for r in got])
 

@@ -44,3 +44,18 @@ def test_learns_from_rows_that_are_not_held_out(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.predicted}
     assert Q.classify(docs.where("false"), labels).count() == 0
     assert Q.classify(docs, labels.where("false")).count() == 403
+
+
+def test_documents_count_alike_in_pieces():
+    """A document of over 64 lines is cut for training, and weighs as much as a short one; repeats of it change nothing."""
+    rnd = random.Random(21)
+    good, bad = ([make(rnd, flag).encode().split(b"\n") for _ in range(30)] for flag in (False, True))
+    chain = lambda lines: Q.with_neighbours(Q.np.array([Q.line_features(x) for x in lines]), Q.np.arange(len(lines)) == 0)
+    long = [x for lines in good for x in lines] * 8
+    assert len(long) > 200
+    model = Q.train([chain(x) for x in [*good, *bad, long]], [1] * 30 + [0] * 30 + [1])
+    same = Q.train([chain(x) for x in [*good, *bad, long]], [1] * 30 + [0] * 30 + [1], longest=4096)
+    score = lambda m, lines: sum(m.marginals(chain(lines) @ m.weights)) / len(lines)
+    for m in (model, same):
+        assert all(score(m, x) > 0.5 for x in [*good, long]) and all(score(m, x) < 0.5 for x in bad)
+    assert abs(score(model, long) - score(same, long)) < 0.05
