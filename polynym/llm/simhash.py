@@ -222,8 +222,8 @@ def keep_one(docs: DataFrame, width: int = 5, max_diff: int = 4, similarity: flo
     Groups by SimHash go first: fingerprints of ``width``-word shingles that link
     at ``max_diff`` bits, which settles exact and closest copies however many
     there are. A SimHash of 64 bits can't tell a similarity of 0.8 from none, so
-    of the rest, groups with an exact Jaccard similarity of ``similarity`` or more
-    of their shingles go too. Rows that repeat one ``doc_id`` are one document
+    of the rest, groups with a Jaccard similarity of ``similarity`` or more of their
+    shingles go too (exact for texts of up to 512 shingles, see ``shingle_sets``). Rows that repeat one ``doc_id`` are one document
     and share its fate; rows without ``doc_id`` stay. All columns are returned as
     they were.
     """
