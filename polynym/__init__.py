@@ -1 +1,13 @@
 """Entity resolution across languages and scripts, and corpus preparation, on PySpark."""
+
+import importlib
+
+_PLACES = {"Cascade": "polynym.operators.cascade", "Resolver": "polynym.plans.resolver", "read_entities": "polynym.sources.entities", "session": "polynym.session"}
+__all__ = list(_PLACES)
+
+
+def __getattr__(name: str):
+    """Exports are loaded when they are asked for, so that Python workers load what they use."""
+    if name not in _PLACES:
+        raise AttributeError(name)
+    return getattr(importlib.import_module(_PLACES[name]), name)

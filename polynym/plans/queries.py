@@ -206,6 +206,10 @@ def lev_negatives(spark: SparkSession, d: str) -> DataFrame:
     return negatives.adversarial_negatives(_pairs(spark, d))
 
 
+def lev_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return lev_negatives(spark, d).groupBy("l1_levenshtein").agg(F.count("*").alias("n"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     pos = _pairs(spark, d).select("idx", "l1_title", "l2_title", "bucket", F.lit(True).alias("positive"))
     neg = negatives.hard_negatives(_pairs(spark, d)).select("idx", "l1_title", "l2_title", "bucket", F.lit(False).alias("positive"))
@@ -340,7 +344,7 @@ def labels_pivot(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     normalize_names, diacritics, title_normalize, url_tail, script_profile, language_pairs, transliterate_pins, name_trigrams, jw_pairs, trigram_cosine_pairs, cascade_pairs,
     respelt_scripts, respelt_latin, behaviour, cross_script_cascade, missed_pairs, spacing, report_deltas,
-    resolve_labels, resolve_clusters, cluster_sizes, gold_members, dense_pairs, label_centre_cosine, hard_negatives, lev_negatives, scored_pairs, confusion_by_tier, per_bucket_f1,
+    resolve_labels, resolve_clusters, cluster_sizes, gold_members, dense_pairs, label_centre_cosine, hard_negatives, lev_negatives, lev_histogram, scored_pairs, confusion_by_tier, per_bucket_f1,
     tier_winner, f1_heatmap, threshold_sweep, outcomes_by_bucket, t3_only_stats, topk_low, near_threshold, pairwise_prf, cluster_prf, lang_pair_report, sitelink_pairs, stratified_extract, labels_pivot,
 )
 
@@ -398,6 +402,9 @@ tp2 AS (SELECT DISTINCT l1, l2 FROM labelled),
 dots AS (SELECT l1, l2, sum(x.tf * y.tf) AS dot FROM tp2 JOIN grams x ON x.nm = l1 JOIN grams y ON y.nm = l2 AND y.gram = x.gram GROUP BY ALL),
 ts AS (SELECT l1, l2, jaro_winkler_similarity(l1, l2) >= 0.82 AS t3_hit, coalesce(dot, 0) / (sqrt(a.sq) * sqrt(b.sq)) AS t4_raw, round(t4_raw, 6) AS t4_score FROM tp2 LEFT JOIN dots USING (l1, l2) JOIN norms a ON a.nm = l1 JOIN norms b ON b.nm = l2),
 scored AS (SELECT labelled.*, t3_hit, t4_raw, t4_score, true AS same_script FROM labelled JOIN ts USING (l1, l2))"""
+LEV = f"""WITH {PAIRS}, l AS (SELECT x.t AS a, y.t AS b, levenshtein(x.t, y.t) AS d FROM (SELECT DISTINCT l1_title AS t FROM pairs) x, (SELECT DISTINCT l1_title AS t FROM pairs) y),
+n AS (SELECT p.idx, row_number() OVER (PARTITION BY p.idx ORDER BY d, q.idx) AS rank, p.l1_title, q.l2_title, p.bucket AS bucket_positive, q.bucket AS bucket_negative, p.qid AS positive_qid, q.qid AS negative_qid, d AS l1_levenshtein, 'negative' AS label
+  FROM pairs p JOIN l ON l.a = p.l1_title AND d <= 5 JOIN pairs q ON q.l1_title = l.b AND q.qid <> p.qid)"""
 TALLY = """
 tiers AS (SELECT *, unnest([struct_pack(tier := 't3', hit := t3_hit), struct_pack(tier := 't4', hit := t4_score >= 0.75), struct_pack(tier := 'combined', hit := (t3_hit AND NOT same_script) OR t4_score >= 0.75), struct_pack(tier := 'combined_ungated', hit := t3_hit OR t4_score >= 0.75)]) AS t FROM scored)"""
 
@@ -460,9 +467,8 @@ SELECT bucket, count(*) FILTER (t3_hit AND t4_raw >= 0.6) - count(*) FILTER (t3_
   count(*) FILTER (NOT t3_hit AND t4_raw < 0.6) - count(*) FILTER (NOT t3_hit AND t4_raw < 0.75) AS delta_neither FROM pos GROUP BY 1""",
         "label_centre_cosine": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], first::DOUBLE[]), 6) AS score FROM embeddings JOIN f USING (label)",
         "hard_negatives": f"WITH {NEGATIVES} SELECT idx, l1_title, m.l2 AS l2_title, bucket, qid AS positive_qid, m.o AS negative_qid, round(m.jw, 6) AS l1_jw_to_source, 'negative' AS label FROM best",
-        "lev_negatives": f"""WITH {PAIRS}, l AS (SELECT x.t AS a, y.t AS b, levenshtein(x.t, y.t) AS d FROM (SELECT DISTINCT l1_title AS t FROM pairs) x, (SELECT DISTINCT l1_title AS t FROM pairs) y),
-n AS (SELECT p.idx, row_number() OVER (PARTITION BY p.idx ORDER BY d, q.idx) AS rank, p.l1_title, q.l2_title, p.bucket AS bucket_positive, q.bucket AS bucket_negative, p.qid AS positive_qid, q.qid AS negative_qid, d AS l1_levenshtein, 'negative' AS label
-  FROM pairs p JOIN l ON l.a = p.l1_title AND d <= 5 JOIN pairs q ON q.l1_title = l.b AND q.qid <> p.qid) SELECT * FROM n WHERE rank <= 3""",
+        "lev_negatives": f"{LEV} SELECT * FROM n WHERE rank <= 3",
+        "lev_histogram": f"{LEV} SELECT l1_levenshtein, count(*) AS n FROM n WHERE rank <= 3 GROUP BY 1",
         "scored_pairs": f"WITH {SCORED} SELECT idx, positive, l1, l2, bucket, t3_hit, t4_score, same_script FROM scored",
         "confusion_by_tier": f"{_tally('')} SELECT * FROM f",
         "per_bucket_f1": f"{_tally('bucket')} SELECT * FROM f",

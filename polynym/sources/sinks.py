@@ -40,9 +40,10 @@ def write_entities(records: DataFrame, path: str) -> None:
 
 
 def write_sitelinks(pairs: DataFrame, path: str) -> None:
-    """JSON lines in a folder for each ``lang_pair``, buckets in extraction order."""
+    """JSON lines in a folder for each ``lang_pair``, buckets in extraction order, and in a bucket by ``rn`` if there is one."""
     order = F.create_map(*(x for i, (_, b) in enumerate(TYPE_BUCKETS) for x in (F.lit(b), F.lit(i))))
-    pairs.orderBy("lang_pair", F.element_at(order, F.col("bucket"))).write.mode("overwrite").partitionBy("lang_pair").json(path)
+    rank = ["rn"] if "rn" in pairs.columns else []
+    pairs.orderBy("lang_pair", F.element_at(order, F.col("bucket")), *rank).write.mode("overwrite").partitionBy("lang_pair").json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -60,3 +61,8 @@ def language_summary(report: DataFrame) -> list[str]:
     pairs = [r.line for r in rows if r.pair != "overall"]
     overall = [x for r in rows if r.pair == "overall" for x in ("-" * 55, r.line)]
     return [HEADING, "=" * 55, *pairs, *overall]
+
+
+def print_table(report: DataFrame, *order: str, rows: int = 200) -> None:
+    """The first ``rows`` rows of a report on the console; reports have a row for each bucket, tier or threshold."""
+    (report.orderBy(*order) if order else report).show(rows, truncate=False)
