@@ -2,7 +2,7 @@
 
 import importlib
 
-_PLACES = {"Cascade": "polynym.operators.cascade", "Resolver": "polynym.plans.resolver", "read_entities": "polynym.sources.entities", "session": "polynym.session"}
+_PLACES = {"Cascade": "polynym.operators.cascade", "Resolver": "polynym.plans.resolver", "read_entities": "polynym.sources.entities"}
 __all__ = list(_PLACES)
 
 
