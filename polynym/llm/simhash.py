@@ -227,6 +227,6 @@ def keep_one(docs: DataFrame, width: int = 5, max_diff: int = 4, similarity: flo
     and share its fate; rows without ``doc_id`` stay. All columns are returned as
     they were.
     """
-    gone = near_duplicates(docs, width, max_diff).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = materialize(docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select(docs.columns), "simhash-left")
+    gone = near_duplicates(docs, width, max_diff).where("doc_id <> component_id").select("doc_id").distinct()
+    left = materialize(docs.join(gone, "doc_id", "left_anti").select(docs.columns), "simhash-left")
     return shingle_sets.keep_one(left, width, similarity)
