@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from polynym.llm import epsilon_grid, fuzzy_lines, mixing, prefix_free, quality_crf, sentencepiece_spans, simhash, token_counts, transport_stream, warc
+from polynym.llm import epsilon_grid, exact_dedup, fuzzy_lines, merkle, mixing, prefix_free, quality_crf, sentencepiece_spans, simhash, token_counts, transport_stream, warc, whitening
 from polynym.operators.materialize import materialize
 
 
@@ -90,7 +90,19 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), blocks=8, similarity=0.8)
 
 
-QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op3_prefix_free, op4_simhash_near_dedup, op5_epsilon_grid, op6_token_counts, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"), most=8)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_sentencepiece_spans, op2_transport_stream, op3_prefix_free, op4_simhash_near_dedup, op5_epsilon_grid, op6_token_counts, op7_warc_revisits, op8_poisson_mix, op9_fuzzy_lines, op10_quality_crf, op11_exact_dedup, op12_whitening, op13_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -101,4 +113,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_warc_revisits": warc.oracle(100),
         "op8_poisson_mix": mixing.oracle(WEIGHTS, 1.0, 1.0, 42, "doc_id, text, lang, source, n_chars"),
+        "op11_exact_dedup": exact_dedup.oracle(),
+        "op13_merkle_manifest": merkle.oracle(),
     }
