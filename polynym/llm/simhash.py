@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             fps = [fingerprint(t.as_py() or b"", width) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
 
 
 def segments(max_diff: int) -> list[tuple[int, int]]:
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_diff: int = 4, id_col:
     node, so a group of copies costs one row. Null or empty text: fingerprint
     zero, linked like any other. Null ``doc_id``: the row keeps its fingerprint
     and takes the component of that fingerprint (null if no row has an id).
+    ``doc_id`` may be of any type that has an order.
     Repeated rows give repeated rows; other columns are not read.
     """
     hashed = materialize(fingerprints(docs, width, id_col, text_col), "simhash")
@@ -223,9 +224,9 @@ def keep_one(docs: DataFrame, width: int = 5, max_diff: int = 4, similarity: flo
     at ``max_diff`` bits, which settles exact and closest copies however many
     there are. A SimHash of 64 bits can't tell a similarity of 0.8 from none, so
     of the rest, groups with a Jaccard similarity of ``similarity`` or more of their
-    shingles go too (exact for texts of up to 512 shingles, see ``shingle_sets``). Rows that repeat one ``doc_id`` are one document
-    and share its fate; rows without ``doc_id`` stay. All columns are returned as
-    they were.
+    shingles go too (see ``shingle_sets``). ``doc_id`` may be of any type that has an
+    order. Rows that repeat one ``doc_id`` are one document and share its fate; rows
+    without ``doc_id`` stay. All columns are returned as they were.
     """
     gone = near_duplicates(docs, width, max_diff).where("doc_id <> component_id").select("doc_id").distinct()
     left = materialize(docs.join(gone, "doc_id", "left_anti").select(docs.columns), "simhash-left")
