@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,12 +36,64 @@ def jaro_winkler_value(a: str, b: str, always_boost: bool = False) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+#: Cells (pairs times characters) that are compared at once.
+CELLS = 1 << 18
+
+
+def jaro_winkler_values(a: list[str], b: list[str], always_boost: bool = False) -> np.ndarray:
+    """``jaro_winkler_value`` of many pairs: character by character, all pairs at once, those of like length together."""
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64).reshape(-1, 2)
+    longest = size.max(axis=1, initial=1)
+    order = np.argsort(longest, kind="stable")
+    out = np.zeros(len(a))
+    at = 0
+    while at < len(order):
+        # As many pairs as fit with the length of the last of them.
+        n = max(1, int(np.searchsorted(longest[order[at:]] * np.arange(1, len(order) - at + 1), CELLS, side="right")))
+        rows = order[at : at + n]
+        out[rows] = _jaro_winkler_block([a[i] for i in rows], [b[i] for i in rows], size[rows], always_boost)
+        at += n
+    return out
+
+
+def _jaro_winkler_block(a: list[str], b: list[str], size: np.ndarray, always_boost: bool) -> np.ndarray:
+    width = max(1, int(size.max()))
+    x, y = (np.array(t, dtype=f"U{width}").view(np.uint32).reshape(len(t), width) for t in (a, b))
+    la, lb = size[:, 0], size[:, 1]
+    place, rows = np.arange(width), np.arange(len(a))
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    free = place < lb[:, None]
+    left = np.zeros(x.shape, dtype=bool)
+    for i in range(int(la.max())):
+        fits = (y == x[:, i : i + 1]) & free & (np.abs(place - i) <= reach[:, None]) & (i < la)[:, None]
+        first = fits.argmax(axis=1)
+        hit = fits[rows, first]
+        free[rows[hit], first[hit]] = False
+        left[:, i] = hit
+    right = (place < lb[:, None]) & ~free
+    m = left.sum(axis=1)
+    # The matched characters of each side, moved to the front in their order.
+    p, q = (np.take_along_axis(t, np.argsort(~mask, axis=1, kind="stable"), axis=1) for t, mask in ((x, left), (y, right)))
+    crossed = ((p != q) & (place < m[:, None])).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - crossed) / m) / 3, 0.0)
+    k = min(4, width)
+    alike = (x[:, :k] == y[:, :k]) & (place[:k] < np.minimum(la, lb)[:, None])
+    prefix = np.minimum.accumulate(alike, axis=1).sum(axis=1)
+    boosted = np.where((jaro > 0.7) | always_boost, jaro + 0.1 * prefix * (1 - jaro), jaro)
+    same = (la == lb) & ((x == y) | (place >= la[:, None])).all(axis=1)
+    return np.where(same, 1.0, np.where(m > 0, boosted, 0.0))
+
+
 def jaro_winkler(a: Column, b: Column, always_boost: bool = False) -> Column:
     """Jaro-Winkler similarity; null if either is. Spark has none, so it runs in Arrow batches."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else jaro_winkler_value(p, q, always_boost) for p, q in zip(x, y, strict=True)], dtype="float64")
+        known = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        out[known] = jaro_winkler_values(x[known].tolist(), y[known].tolist(), always_boost)
+        return pd.Series(out, dtype="Float64").where(known)
 
     return run(a, b)
 

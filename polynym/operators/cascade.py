@@ -19,6 +19,7 @@ from polynym.functions.similarity import char_ngrams, cosine, jaro_winkler, may_
 from polynym.functions.text import normalize_for_matching
 from polynym.functions.translit import transliterate_to_latin
 from polynym.operators.materialize import materialize
+from polynym.operators.similarity_join import keyed_by_jaro_winkler
 
 
 @dataclass(frozen=True)
@@ -127,25 +128,9 @@ class Cascade:
         return scored.select("src", "dst", F.lit(tier).alias("tier"), "score")
 
     def jaro_winkler_candidates(self, side: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-        """Pairs (src < dst) that hold every pair of the threshold or more, types compatible.
-
-        Pairs with one first letter are joined on it. Of all others the prefix is
-        empty, so Jaro itself must reach the threshold: more than a known share of
-        the letters of each name is common, and two names share a token (letter
-        and its number within the name) among the rarest of either.
-        """
-        first = side.select("kid", "etype", *keys, F.substring("form", 1, 1).alias("token"))
-        found = self.typed_pairs(first, [*keys, "token"])
-        share = 3 * threshold - 2
-        letters = side.select("kid", "etype", *keys, F.length("form").alias("n"), F.posexplode(F.split("form", "")).alias("pos", "c")).where("c <> ''")
-        within = Window.partitionBy("kid", "c").orderBy("pos")
-        tokens = letters.withColumn("token", F.concat("c", F.row_number().over(within).cast("string")))
-        often = tokens.groupBy("token").agg(F.count("*").alias("df"))
-        order = Window.partitionBy("kid").orderBy("df", "token")
-        rare = tokens.join(often, "token").withColumn("place", F.row_number().over(order))
-        least = F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9)) if share > 0 else F.lit(1)
-        prefix = rare.where(F.col("place") <= F.col("n") - least + 1).select("kid", "etype", *keys, "token")
-        return found.union(self.typed_pairs(prefix, [*keys, "token"])).distinct()
+        """Pairs (src < dst) that hold every pair of the threshold or more, types compatible: an equi-join on prefixes, lengths and rare letters."""
+        tokens = keyed_by_jaro_winkler(side.select("kid", "etype", *keys, "form"), "form", threshold)
+        return self.typed_pairs(tokens.drop("form"), [*keys, "token"])
 
     @staticmethod
     def typed_pairs(rows: DataFrame, on: list[str]) -> DataFrame:
