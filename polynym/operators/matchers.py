@@ -1,12 +1,13 @@
 """Matchers of given pairs (name_a, name_b, lang_a, lang_b): a score and a threshold.
 
-A new matcher is a subclass with ``score``; it is used like the two here.
+A new matcher is a subclass with ``score``; it is used like the two here. With
+``candidates`` it can be a tier of its own: ``Cascade(more=(MyMatcher(),))``.
 """
 
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from polynym.functions.similarity import jaro_winkler
 from polynym.functions.text import normalize_for_matching
 from polynym.functions.translit import transliterate_to_latin
 from polynym.operators.cascade import Cascade
+from polynym.operators.dense import Model
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,14 @@ class Matcher(ABC):
     def score(self, pairs: DataFrame) -> Column:
         """The similarity of each pair, between 0 and 1."""
 
+    def candidates(self, keys: DataFrame) -> DataFrame:
+        """``(src, dst)`` among keys (kid, name, norm, script, latin, lang, etype): pairs that hold all that the matcher would match."""
+        raise NotImplementedError(f"{type(self).__name__} has no candidates, so it can't be a tier")
+
+    def number(self, otherwise: int) -> int:
+        """The tier's number."""
+        return otherwise if self.tier is None else self.tier
+
     def match(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` with is_match, score, tier and method."""
         scored = pairs.withColumn("score", self.score(pairs))
@@ -54,11 +64,22 @@ class PhoneticMatcher(Matcher):
 
 @dataclass(frozen=True)
 class EmbeddingMatcher(Matcher):
-    """Cosine of character trigrams, or of the columns vector_a and vector_b."""
+    """Cosine of character trigrams, of the columns vector_a and vector_b, or of vectors that a model makes of the names."""
 
     tier: int | None = 4
     backend: str = "ngram"
+    model: Model | None = field(default=None, hash=False)
     method: ClassVar[str] = "EmbeddingMatcher"
 
     def score(self, pairs: DataFrame) -> Column:
-        return Cascade(backend=self.backend).pair_cosine("name_a", "name_b")
+        return self.cascade.pair_cosine("name_a", "name_b")
+
+    @property
+    def cascade(self) -> Cascade:
+        return Cascade(backend=self.backend, model=self.model)
+
+    def match(self, pairs: DataFrame) -> DataFrame:
+        if self.model is None:
+            return super().match(pairs)
+        found = super().match(self.cascade._encoded_pairs(pairs))
+        return found.select(*pairs.columns, "is_match", "score", "tier", "method")
