@@ -5,39 +5,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polynym.functions.similarity import jaro_winkler, levenshtein_within
+from polynym.functions.similarity import jaro_winkler
 from polynym.operators.materialize import materialize
+from polynym.operators.similarity_join import edit_pairs, keyed_by_jaro_winkler, letter_counts
 
+#: Edit distances at which near titles are looked for before the largest one.
+DISTANCES = (1, 3)
+#: Similarities down to which the most similar title is looked for, one after the other.
+LEVELS = (0.9, 0.8, 0.7)
+#: In buckets of up to so many titles all are compared at once.
+FEW = 256
 
-def hard_negatives(pairs: DataFrame) -> DataFrame:
+
+def hard_negatives(pairs: DataFrame, levels: tuple[float, ...] = LEVELS, few: int = FEW) -> DataFrame:
     """For each row, the row of its bucket with another qid and the most similar first title.
 
     Similarity is Jaro-Winkler of the raw titles; among equals the first row
-    wins. Titles are compared once per distinct pair of a bucket, and the best
-    row is found by an aggregation that combines before the shuffle. A row alone
-    in its bucket has none.
+    wins. A row alone in its bucket has none, and a row without a title, qid or
+    bucket neither has one nor is one. In buckets of over ``few`` titles, titles are
+    searched by falling bounds: at each level only titles of which a row has nothing yet look for others, by
+    a join that holds all pairs of the level or more. So what a title found at a
+    level is the best, and most titles never meet the rest of their bucket. Those
+    that are like nothing at the lowest level are compared with all of it.
     """
-    titles = pairs.groupBy("bucket", "l1_title").agg(F.count("*").alias("n")).select("bucket", "l1_title")
-    other = titles.select("bucket", F.col("l1_title").alias("other"))
-    # The similarity does not depend on the order to within rounding; each unordered pair is scored once.
-    scored = titles.join(other, "bucket").where("l1_title <= other").withColumn("jw", F.when(F.col("l1_title") == F.col("other"), 1.0).otherwise(jaro_winkler(F.col("l1_title"), F.col("other"))))
-    scored = materialize(scored, "title-pairs")
-    both = scored.union(scored.where("l1_title < other").select("bucket", F.col("other").alias("l1_title"), F.col("l1_title").alias("other"), "jw"))
+    fine = pairs.where("l1_title is not null and qid is not null and bucket is not null")
+    rows = materialize(fine.select("idx", "qid", "l1_title", "l2_title", "bucket"), "negative-rows")
     # Of each title's rows, the first and the first of another qid are all that can win.
     per = Window.partitionBy("bucket", "l1_title", "qid").orderBy("idx")
-    firsts = pairs.withColumn("_k", F.row_number().over(per)).where("_k = 1").drop("_k")
+    firsts = rows.withColumn("_k", F.row_number().over(per)).where("_k = 1").drop("_k")
     ranked = Window.partitionBy("bucket", "l1_title").orderBy("idx")
-    firsts = firsts.withColumn("_k", F.row_number().over(ranked)).where("_k <= 2").select("bucket", F.col("l1_title").alias("other"), F.col("qid").alias("q_qid"), F.col("idx").alias("q_idx"), F.col("l2_title").alias("q_l2"))
-    p = pairs.select("idx", "qid", "l1_title", "bucket").join(both, ["bucket", "l1_title"]).join(firsts, ["bucket", "other"]).where("qid <> q_qid")
-    best = p.groupBy("idx", "qid", "l1_title", "bucket").agg(F.max(F.struct("jw", (-F.col("q_idx")).alias("first"), "q_l2", "q_qid")).alias("best"))
-    return best.select("idx", "l1_title", F.col("best.q_l2").alias("l2_title"), "bucket", F.col("qid").alias("positive_qid"), F.col("best.q_qid").alias("negative_qid"), F.col("best.jw").alias("l1_jw_to_source"), F.lit("negative").alias("label"))
+    firsts = materialize(firsts.withColumn("_k", F.row_number().over(ranked)).where("_k <= 2").select("bucket", F.col("l1_title").alias("other"), F.col("qid").alias("q_qid"), F.col("idx").alias("q_idx"), F.col("l2_title").alias("q_l2")), "negative-firsts")
+
+    def best(found: DataFrame, of: DataFrame) -> DataFrame:
+        """Of each row, the best of the ``found`` (bucket, l1_title, other, jw)."""
+        p = of.select("idx", "qid", "l1_title", "bucket").join(found, ["bucket", "l1_title"]).join(firsts, ["bucket", "other"]).where("qid <> q_qid")
+        return p.groupBy("idx", "qid", "l1_title", "bucket").agg(F.max(F.struct("jw", (-F.col("q_idx")).alias("first"), "q_l2", "q_qid")).alias("best"))
+
+    titles = materialize(rows.select("bucket", "l1_title").distinct(), "negative-titles")
+    small = titles.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") <= few).select("bucket")
+
+    def scored(seeking: DataFrame, level: float | None) -> DataFrame:
+        """``(bucket, l1_title, other, jw)`` of the level or more; None: of all in the bucket."""
+        other = titles.select("bucket", F.col("l1_title").alias("other"))
+        if level is None:
+            met = seeking.join(other, "bucket")
+        else:
+            a, b = keyed_by_jaro_winkler(seeking, "l1_title", level, often), keyed_by_jaro_winkler(other.join(seeking.select("bucket").distinct(), "bucket", "left_semi"), "other", level, often)
+            met = a.join(b, ["bucket", "token"]).select("bucket", "l1_title", "other").distinct()
+        # In one order, so that a pair's score is the same from both sides to the last bit.
+        jw = jaro_winkler(F.least("l1_title", "other"), F.greatest("l1_title", "other"))
+        found = met.where("l1_title <> other").withColumn("jw", jw)
+        return found if level is None else found.where(F.col("jw") >= level)
+
+    # A title's other rows are as similar as can be.
+    same = titles.select("bucket", "l1_title", F.col("l1_title").alias("other"), F.lit(1.0).alias("jw"))
+    direct = scored(titles.join(small, "bucket", "left_semi"), None)
+    done = materialize(best(same.union(direct), rows), "negative-best")
+    rows = rows.join(small, "bucket", "left_anti")
+    often = None
+    for level in (*levels, None):
+        rows = materialize(rows.join(done.select("idx"), "idx", "left_anti"), "negative-rows")
+        if rows.isEmpty():
+            break
+        often = letter_counts(titles, "l1_title") if often is None else often
+        done = materialize(done.union(best(scored(rows.select("bucket", "l1_title").distinct(), level), rows)), "negative-best")
+    return done.select("idx", "l1_title", F.col("best.q_l2").alias("l2_title"), "bucket", F.col("qid").alias("positive_qid"), F.col("best.q_qid").alias("negative_qid"), F.col("best.jw").alias("l1_jw_to_source"), F.lit("negative").alias("label"))
 
 
 def adversarial_negatives(pairs: DataFrame, most: int = 5, per_row: int = 3) -> DataFrame:
     """For each row, up to ``per_row`` rows of another qid with first titles within ``most`` edits, nearest first.
 
-    Ties go to earlier rows. Distances are computed per distinct pair of titles
-    whose lengths differ by ``most`` at most; candidates share a length cell.
+    Ties go to earlier rows. Titles within the distance share a segment (see
+    ``edit_pairs``). They are looked for at growing distances: at each only titles of which
+    a row has too few yet look further, so most never meet what is far from them.
     Rows are cut before they are joined: whatever qid is left out, the nearest
     ``per_row`` rows of others are among the first ``per_row`` of each qid, and of
     these among the first ``2 * per_row``. So a title has that many candidates.
@@ -47,13 +87,19 @@ def adversarial_negatives(pairs: DataFrame, most: int = 5, per_row: int = 3) ->
         of_qid = df.withColumn("_k", F.row_number().over(Window.partitionBy(title, "q_qid").orderBy(*order))).where(F.col("_k") <= per_row)
         return of_qid.withColumn("_k", F.row_number().over(Window.partitionBy(title).orderBy(*order))).where(F.col("_k") <= 2 * per_row).drop("_k")
 
-    width = most + 1
-    titles = pairs.select("l1_title").where("l1_title is not null").distinct().withColumn("cell", F.floor(F.length("l1_title") / width))
-    near = titles.select(F.col("l1_title").alias("other"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    close = titles.join(near, "cell").withColumn("d", levenshtein_within(F.col("l1_title"), F.col("other"), most)).where("d is not null").select("l1_title", "other", "d")
     rows = pairs.select(F.col("l1_title").alias("other"), F.col("qid").alias("q_qid"), F.col("idx").alias("q_idx"), F.col("l2_title").alias("q_l2"), F.col("bucket").alias("q_bucket"))
-    q = leading(rows.where("other is not null and q_qid is not null"), "other", ["q_idx"])
-    candidates = leading(close.join(q, "other").drop("other"), "l1_title", ["d", "q_idx"])
+    q = materialize(leading(rows.where("other is not null and q_qid is not null"), "other", ["q_idx"]), "title-rows")
+    titles = materialize(pairs.select("l1_title").where("l1_title is not null").distinct(), "titles")
+    seeking, candidates = titles, None
+    for d in (*(d for d in DISTANCES if d < most), most):
+        close = edit_pairs(titles, "l1_title", d, seeking)
+        found = materialize(leading(close.join(q, "other").drop("other"), "l1_title", ["d", "q_idx"]), "title-candidates")
+        candidates = found if candidates is None else candidates.join(seeking, "l1_title", "left_anti").unionByName(found)
+        # Whatever qid a row has, that many rows of others are enough.
+        enough = found.groupBy("l1_title").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * per_row).select("l1_title")
+        seeking = materialize(seeking.join(enough, "l1_title", "left_anti"), "titles")
+        if seeking.isEmpty():
+            break
     found = pairs.select("idx", "qid", "l1_title", "bucket").join(candidates, "l1_title").where("qid <> q_qid")
     first = Window.partitionBy("idx").orderBy("d", "q_idx")
     best = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_row)

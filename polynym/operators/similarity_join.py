@@ -144,16 +144,23 @@ def edit_keys(text: str, most: int) -> tuple[list[str], list[str]]:
     return own, list(dict.fromkeys(seek))
 
 
-def edit_pairs(titles: DataFrame, title: str, most: int) -> DataFrame:
-    """``(a, b, d)``: pairs of distinct ``titles`` (a < b) within ``most`` edits, and each title with itself (d = 0)."""
+def edit_pairs(titles: DataFrame, title: str, most: int, seeking: DataFrame | None = None) -> DataFrame:
+    """``(title, other, d)``: for each of ``seeking`` (all ``titles``, unless told), the ``titles`` within ``most`` edits, itself (d = 0) included.
+
+    Both have distinct titles.
+    """
 
     def both(texts: pd.Series) -> pd.DataFrame:
         made = [edit_keys(s, most) for s in texts]
         return pd.DataFrame({"own": [o for o, _ in made], "seek": [k for _, k in made]})
 
     keys = F.pandas_udf(both, "own array<string>, seek array<string>")
-    keyed = materialize(titles.select(title, keys(F.col(title)).alias("k")).select(F.col(title), *(F.transform(F.col("k")[c], lambda x: F.xxhash64(x)).alias(c) for c in ("own", "seek"))), "edit-keys")
-    own, seek = keyed.select(F.col(title).alias("a"), F.explode("own").alias("key")), keyed.select(F.col(title).alias("b"), F.explode("seek").alias("key"))
-    met = own.join(seek, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = met.withColumn("d", levenshtein_within(F.col("a"), F.col("b"), most)).where("d is not null")
-    return near.union(titles.select(F.col(title).alias("a"), F.col(title).alias("b"), F.lit(0).alias("d")))
+
+    def keyed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        made = materialize(rows.select(F.col(title).alias(name), keys(F.col(title)).alias("k")).select(name, *(F.transform(F.col("k")[c], lambda x: F.xxhash64(x)).alias(c) for c in ("own", "seek"))), "edit-keys")
+        return made.select(name, F.explode("own").alias("key")), made.select(name, F.explode("seek").alias("key"))
+
+    # The shorter one is found by its own keys; either may be the one that seeks.
+    (own_a, seek_a), (own_b, seek_b) = keyed(titles if seeking is None else seeking, "a"), keyed(titles, "b")
+    met = own_a.join(seek_b, "key").select("a", "b").union(seek_a.join(own_b, "key").select("a", "b")).distinct()
+    return met.withColumn("d", levenshtein_within(F.col("a"), F.col("b"), most)).where("d is not null").select(F.col("a").alias(title), F.col("b").alias("other"), "d")

@@ -202,8 +202,34 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return negatives.hard_negatives(_pairs(spark, d)).withColumn("l1_jw_to_source", F.round("l1_jw_to_source", 6))
 
 
+def _code(key: str) -> F.Column:
+    return F.md5(F.col(key).cast("string"))
+
+
 def lev_negatives(spark: SparkSession, d: str) -> DataFrame:
-    return negatives.adversarial_negatives(_pairs(spark, d))
+    """First titles have up to five further characters, so that distances from 0 to 5 occur and nearly all titles are distinct."""
+    more = F.substring(_code("idx"), F.lit(1), (F.col("idx") % 6).cast("int"))
+    edited = F.concat(F.substring("l1_title", 1, 3), more, F.substring(F.col("l1_title"), F.lit(4), F.length("l1_title")))
+    return negatives.adversarial_negatives(_pairs(spark, d).withColumn("l1_title", edited))
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with names of their own: seven letters from the key, and the second word of the name."""
+    own = F.translate(F.substring(_code("p_partkey"), 1, 7), "0123456789", "ghijklmnop")
+    return _t(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.concat(own, F.lit(" "), F.substring_index("p_name", " ", -1)).alias("name"))
+
+
+def jw_distinct_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that occur once each (20000 of them at sf0.1)."""
+    names = _names(spark, d).groupBy("name").agg(F.min("p_partkey").alias("kid"))
+    keys = Cascade().derive(names.withColumns({"lang": F.lit("en"), "entity_type": F.lit("")}))
+    return Cascade().fuzzy_links(keys, "norm", 0.88, 2).select("src", "dst", _r("score", "score"))
+
+
+def hard_negatives_names(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar name of the same brand and another type."""
+    rows = _names(spark, d).select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("qid"), F.col("name").alias("l1_title"), F.col("name").alias("l2_title"), F.col("p_brand").alias("bucket"))
+    return negatives.hard_negatives(rows).select("idx", "bucket", "l2_title", "negative_qid", _r("l1_jw_to_source", "jw"))
 
 
 def lev_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +370,7 @@ def labels_pivot(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     normalize_names, diacritics, title_normalize, url_tail, script_profile, language_pairs, transliterate_pins, name_trigrams, jw_pairs, trigram_cosine_pairs, cascade_pairs,
     respelt_scripts, respelt_latin, behaviour, cross_script_cascade, missed_pairs, spacing, report_deltas,
-    resolve_labels, resolve_clusters, cluster_sizes, gold_members, dense_pairs, label_centre_cosine, hard_negatives, lev_negatives, lev_histogram, scored_pairs, confusion_by_tier, per_bucket_f1,
+    resolve_labels, resolve_clusters, cluster_sizes, gold_members, dense_pairs, label_centre_cosine, hard_negatives, hard_negatives_names, jw_distinct_names, lev_negatives, lev_histogram, scored_pairs, confusion_by_tier, per_bucket_f1,
     tier_winner, f1_heatmap, threshold_sweep, outcomes_by_bucket, t3_only_stats, topk_low, near_threshold, pairwise_prf, cluster_prf, lang_pair_report, sitelink_pairs, stratified_extract, labels_pivot,
 )
 
@@ -402,7 +428,8 @@ tp2 AS (SELECT DISTINCT l1, l2 FROM labelled),
 dots AS (SELECT l1, l2, sum(x.tf * y.tf) AS dot FROM tp2 JOIN grams x ON x.nm = l1 JOIN grams y ON y.nm = l2 AND y.gram = x.gram GROUP BY ALL),
 ts AS (SELECT l1, l2, jaro_winkler_similarity(l1, l2) >= 0.82 AS t3_hit, coalesce(dot, 0) / (sqrt(a.sq) * sqrt(b.sq)) AS t4_raw, round(t4_raw, 6) AS t4_score FROM tp2 LEFT JOIN dots USING (l1, l2) JOIN norms a ON a.nm = l1 JOIN norms b ON b.nm = l2),
 scored AS (SELECT labelled.*, t3_hit, t4_raw, t4_score, true AS same_script FROM labelled JOIN ts USING (l1, l2))"""
-LEV = f"""WITH {PAIRS}, l AS (SELECT x.t AS a, y.t AS b, levenshtein(x.t, y.t) AS d FROM (SELECT DISTINCT l1_title AS t FROM pairs) x, (SELECT DISTINCT l1_title AS t FROM pairs) y),
+NAMES = """own AS (SELECT *, translate(md5(CAST(p_partkey AS VARCHAR))[1:7], '0123456789', 'ghijklmnop') || ' ' || split_part(p_name, ' ', -1) AS nm FROM part)"""
+LEV = f"""WITH {PAIRS.replace("pairs AS", "plain AS")}, pairs AS (SELECT * REPLACE (l1_title[1:3] || md5(CAST(idx AS VARCHAR))[1:idx % 6] || l1_title[4:] AS l1_title) FROM plain), l AS (SELECT x.t AS a, y.t AS b, levenshtein(x.t, y.t) AS d FROM (SELECT DISTINCT l1_title AS t FROM pairs) x, (SELECT DISTINCT l1_title AS t FROM pairs) y),
 n AS (SELECT p.idx, row_number() OVER (PARTITION BY p.idx ORDER BY d, q.idx) AS rank, p.l1_title, q.l2_title, p.bucket AS bucket_positive, q.bucket AS bucket_negative, p.qid AS positive_qid, q.qid AS negative_qid, d AS l1_levenshtein, 'negative' AS label
   FROM pairs p JOIN l ON l.a = p.l1_title AND d <= 5 JOIN pairs q ON q.l1_title = l.b AND q.qid <> p.qid)"""
 TALLY = """
@@ -467,6 +494,9 @@ SELECT bucket, count(*) FILTER (t3_hit AND t4_raw >= 0.6) - count(*) FILTER (t3_
   count(*) FILTER (NOT t3_hit AND t4_raw < 0.6) - count(*) FILTER (NOT t3_hit AND t4_raw < 0.75) AS delta_neither FROM pos GROUP BY 1""",
         "label_centre_cosine": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], first::DOUBLE[]), 6) AS score FROM embeddings JOIN f USING (label)",
         "hard_negatives": f"WITH {NEGATIVES} SELECT idx, l1_title, m.l2 AS l2_title, bucket, qid AS positive_qid, m.o AS negative_qid, round(m.jw, 6) AS l1_jw_to_source, 'negative' AS label FROM best",
+        "jw_distinct_names": f"WITH {NAMES}, names AS (SELECT nm, min(p_partkey) AS kid FROM own GROUP BY 1) SELECT least(a.kid, b.kid) AS src, greatest(a.kid, b.kid) AS dst, round(jaro_winkler_similarity(a.nm, b.nm), 6) AS score FROM names a JOIN names b ON a.nm < b.nm WHERE jaro_winkler_similarity(a.nm, b.nm) >= 0.88",
+        "hard_negatives_names": f"""WITH {NAMES}, best AS (SELECT p.p_partkey AS idx, p.p_brand AS bucket, arg_max(struct_pack(l2 := q.nm, o := q.p_type, jw := jaro_winkler_similarity(least(p.nm, q.nm), greatest(p.nm, q.nm))), struct_pack(a := jaro_winkler_similarity(least(p.nm, q.nm), greatest(p.nm, q.nm)), b := -q.p_partkey)) AS m
+  FROM own p JOIN own q ON p.p_brand = q.p_brand AND p.p_type <> q.p_type GROUP BY ALL) SELECT idx, bucket, m.l2 AS l2_title, m.o AS negative_qid, round(m.jw, 6) AS jw FROM best""",
         "lev_negatives": f"{LEV} SELECT * FROM n WHERE rank <= 3",
         "lev_histogram": f"{LEV} SELECT l1_levenshtein, count(*) AS n FROM n WHERE rank <= 3 GROUP BY 1",
         "scored_pairs": f"WITH {SCORED} SELECT idx, positive, l1, l2, bucket, t3_hit, t4_score, same_script FROM scored",

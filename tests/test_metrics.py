@@ -54,7 +54,9 @@ def test_negatives_against_brute_force(spark):
         if peers:
             best = max(peers, key=lambda q: (round(jaro_winkler_value(*sorted((p[2], q[2]))), 12), -q[0]))
             want.append((p[0], p[2], best[3], p[4], p[1], best[1], pytest.approx(jaro_winkler_value(p[2], best[2])), "negative"))
-    assert [tuple(r) for r in negatives.hard_negatives(df).orderBy("idx").collect()] == want
+    for few in (256, 0):
+        assert [tuple(r) for r in negatives.hard_negatives(df, few=few).orderBy("idx").collect()] == want
+    assert negatives.hard_negatives(df.where("false")).count() == 0
 
     def lev(a, b):
         row = list(range(len(b) + 1))

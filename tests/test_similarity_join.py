@@ -54,10 +54,11 @@ def test_edit_pairs(spark, most):
     rnd = random.Random(most)
     pool = strings(rnd, 150, "abcde", 16)
     df = spark.createDataFrame([(s,) for s in pool], "t string")
-    got = {(r.a, r.b): r.d for r in J.edit_pairs(df, "t", most).collect()}
     a, b = df.toDF("a"), df.toDF("b")
-    want = a.join(b, a.a <= b.b).withColumn("d", levenshtein_within(a.a, b.b, most)).where("d is not null")
-    assert got == {(r.a, r.b): r.d for r in want.collect()}
+    want = {(r.a, r.b): r.d for r in a.crossJoin(b).withColumn("d", levenshtein_within(a.a, b.b, most)).where("d is not null").collect()}
+    assert {(r.t, r.other): r.d for r in J.edit_pairs(df, "t", most).collect()} == want
+    some = set(pool[::3])
+    assert {(r.t, r.other): r.d for r in J.edit_pairs(df, "t", most, df.where(df.t.isin(list(some)))).collect()} == {k: d for k, d in want.items() if k[0] in some}
 
 
 def test_edit_keys_prune():
