@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polynym.operators.materialize import materialize
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 if b is 0."""
@@ -15,16 +17,52 @@ def f1(p: Column, r: Column) -> Column:
     return ratio(2 * p * r, p + r)
 
 
-def cluster_pairs(members: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``(*by, a, b)``: distinct pairs of ids that share a cluster; input (*by, cluster, id).
+def _join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join where null equals null; of ``b`` only columns that ``a`` lacks are kept."""
+    other = b.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in b.columns))
+    cond = F.lit(True)
+    for c in on:
+        cond &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(other, cond, how).drop(*(f"_{c}" for c in on))
+
+
+def _choose_two(rows: DataFrame, by: list[str], cells: list[str], name: str) -> DataFrame:
+    """``(*by, name)``: pairs of rows within the cells, from their sizes alone."""
+    sizes = rows.groupBy(*by, *cells).agg(F.count("*").alias("_n"))
+    return sizes.select(*by, F.expr("_n * (_n - 1) div 2").alias(name))
+
+
+def pair_counts(predicted: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, tp, predicted, gold)``: pairs of ids that share a cluster, in both, in the predicted, in the gold.
 
-    Ids are in order; an id twice in a cluster pairs with itself.
+    Pairs are counted, not listed: those within a cluster follow from its size,
+    and those that both have from the sizes of the overlaps of their clusters.
+    An id twice in a cluster pairs with itself, once. Only ids that are in
+    several clusters of one side may share more than one with another id; pairs
+    with such an id, whatever the other is, are listed and counted once.
     """
-    by = by or []
-    counted = members.groupBy(*by, "cluster", "id").agg(F.count("*").alias("n"))
-    one, two = (counted.select(*by, "cluster", F.col("id").alias(x), *( ["n"] if x == "a" else [])) for x in ("a", "b"))
-    found = one.join(two, [*by, "cluster"]).where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("n") > 1)))
-    return found.select(*by, "a", "b").distinct()
+    sides = {n: materialize(d.groupBy(*by, "cluster", "id").agg(F.count("*").alias("times")), "members") for n, d in (("predicted", predicted), ("gold", gold))}
+    several = [d.groupBy(*by, "id").agg(F.count("*").alias("_n")).where("_n > 1").select(*by, "id") for d in sides.values()]
+    several = materialize(several[0].union(several[1]).distinct(), "several")
+    plain = {n: _join(d, several, [*by, "id"], "left_anti") for n, d in sides.items()}
+    own = {n: d.where("times > 1").select(*by, "id").distinct() for n, d in sides.items()}
+    overlap = _join(plain["predicted"].select(*by, "id", F.col("cluster").alias("pc")), plain["gold"].select(*by, "id", F.col("cluster").alias("gc")), [*by, "id"])
+
+    def listed(d: DataFrame) -> DataFrame:
+        with_one = _join(d.select(*by, "cluster", "id"), several, [*by, "id"], "left_semi")
+        pairs = _join(with_one.withColumnRenamed("id", "a"), d.select(*by, "cluster", F.col("id").alias("b")), [*by, "cluster"]).where("a <> b")
+        return pairs.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    lists = {n: materialize(listed(d), "listed-pairs") for n, d in sides.items()}
+    one = F.lit(1).cast("long")
+    parts = [_choose_two(overlap, by, ["pc", "gc"], "tp"), _join(own["predicted"], own["gold"], [*by, "id"], "left_semi").select(*by, one.alias("tp")), _join(lists["predicted"], lists["gold"], [*by, "a", "b"], "left_semi").select(*by, one.alias("tp"))]
+    for n in sides:
+        parts += [_choose_two(plain[n], by, ["cluster"], n), own[n].select(*by, one.alias(n)), lists[n].select(*by, one.alias(n))]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p, allowMissingColumns=True)
+    zero = F.lit(0).cast("long")
+    return found.groupBy(*by).agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("tp", "predicted", "gold")))
 
 
 def _prf(tp: Column, predicted: Column, gold: Column) -> list[Column]:
@@ -37,9 +75,9 @@ def _prf(tp: Column, predicted: Column, gold: Column) -> list[Column]:
 def pairwise_prf(predicted: DataFrame, gold: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Pairwise precision, recall and F1 of clusters (*by, cluster, id); with ``by``, for each group of the gold."""
     by = by or []
-    p, g = cluster_pairs(predicted, by).withColumn("p", F.lit(1)), cluster_pairs(gold, by).withColumn("g", F.lit(1))
-    both = p.join(g, [*by, "a", "b"], "full")
-    counts = both.groupBy(*by).agg(F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("tp"), F.count("p").alias("predicted"), F.count("g").alias("gold"))
+    counts = pair_counts(predicted, gold, by)
+    if by:  # groups that have a pair
+        counts = counts.where("predicted + gold > 0")
     return counts.select(*by, *_prf(F.col("tp"), F.col("predicted"), F.col("gold")))
 
 
@@ -112,8 +150,28 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
 
 
+#: Ranges into which values are counted at once.
+RANGES = 1024
+
+
 def ranks_median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Minimum, upper median and maximum by rank, without gathering a group's values in one row."""
-    rank = Window.partitionBy(*by).orderBy(value)
-    placed = rows.where(F.col(value).isNotNull()).withColumns({"_rn": F.row_number().over(rank), "_n": F.count("*").over(Window.partitionBy(*by))})
-    return placed.groupBy(*by).agg(F.min(value).alias("min"), F.max(F.when(F.col("_rn") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("median"), F.max(value).alias("max"))
+    """``(*by, min, median, max)``: exact, the upper median; values are finite numbers, nulls are left out.
+
+    Values are never sorted or gathered: those of a group are counted in ranges between its
+    least and its largest, and only the range that holds the median is looked at
+    again, in finer ranges, until one value is left.
+    """
+    v = materialize(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), "values")
+    ends = materialize(v.groupBy(*by).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.count("*").alias("_n")), "value-ends")
+    state = ends.select(*by, F.col("min").alias("_lo"), F.col("max").alias("_hi"), (F.floor(F.col("_n") / 2) + 1).alias("_k"))
+    medians = state.where("_lo = _hi").select(*by, F.col("_lo").alias("median"))
+    while not (state := materialize(state.where("_lo < _hi"), "median-ranges")).isEmpty():
+        inside = _join(v, state, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        share = (F.col("_v").cast("double") - F.col("_lo").cast("double")) / (F.col("_hi").cast("double") - F.col("_lo").cast("double"))
+        cell = F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).alias("_cell")
+        counts = inside.select(*by, "_k", "_v", cell).groupBy(*by, "_k", "_cell").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        so_far = F.sum("_c").over(Window.partitionBy(*by).orderBy("_cell"))  # a row for each range
+        told = counts.withColumn("_before", so_far - F.col("_c")).where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
+        state = materialize(told.select(*by, "_lo", "_hi", (F.col("_k") - F.col("_before")).alias("_k")), "median-ranges")
+        medians = medians.union(state.where("_lo = _hi").select(*by, F.col("_lo").alias("median")))
+    return _join(ends.drop("_n"), medians, by).select(*by, "min", "median", "max")

@@ -198,3 +198,33 @@ def test_stream(spark, tmp_path):
     sink(two, 1)
     got = spark.read.parquet(str(tmp_path / "store/labels-1")).orderBy("idx").collect()
     assert [(r.idx, r.cluster_id) for r in got] == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_pairs_are_counted_as_if_listed(spark):
+    """Random clusters, with ids twice in one and in several, by group; the counts of the sets of pairs."""
+    rnd = random.Random(30)
+    sides = [[(rnd.choice(["x", "y", None]), f"c{rnd.randrange(5)}", f"i{rnd.randrange(25)}") for _ in range(60)] for _ in range(2)]
+
+    def pairs(rows, group):
+        out = set()
+        for c in {r[1] for r in rows if r[0] == group}:
+            ids = [r[2] for r in rows if r[:2] == (group, c)]
+            out |= {tuple(sorted((a, b))) for i, a in enumerate(ids) for b in ids[:i]}
+        return out
+
+    p, g = (spark.createDataFrame(s, "g string, cluster string, id string") for s in sides)
+    got = {r.g: (r.tp, r.predicted, r.gold) for r in metrics.pair_counts(p, g, ["g"]).collect()}
+    assert got == {k: (len(a & b), len(a), len(b)) for k in ("x", "y", None) for a, b in [(pairs(sides[0], k), pairs(sides[1], k))]}
+    once = [list({r[2]: r for r in s}.values()) for s in sides]  # each id in one cluster
+    p, g = (spark.createDataFrame([("z", *r[1:]) for r in s], "g string, cluster string, id string") for s in once)
+    a, b = (pairs([("z", *r[1:]) for r in s], "z") for s in once)
+    assert tuple(metrics.pair_counts(p, g, []).first()) == (len(a & b), len(a), len(b))
+
+
+@pytest.mark.parametrize("spread", [1, 40, 10**15])
+def test_median_by_ranges(spark, spread):
+    rnd = random.Random(spread)
+    rows = [(rnd.choice(["a", "b", "c", None]), rnd.choice([None, float(rnd.randrange(spread)), -rnd.random() * spread**2, 7.0])) for _ in range(300)] + [("one", 1.5), ("two", 1.0), ("two", 2.0), ("none", None)]
+    got = {r.g: (r.min, r.median, r.max) for r in metrics.ranks_median(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    groups = {g: sorted(v for h, v in rows if h == g and v is not None) for g in {g for g, _ in rows}}
+    assert got == {g: (v[0], v[len(v) // 2], v[-1]) for g, v in groups.items() if v}
