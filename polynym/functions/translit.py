@@ -10,51 +10,54 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from polynym.functions.lexicon import Lexicon, Words, as_lexicon
 from polynym.functions.script import detect_script
 
-# How each letter is written. Capitals follow by rule; letters with nothing after = are dropped.
-CYRILLIC = """
-а=a б=b в=v г=g д=d е=ye ё=yo ж=zh з=z и=i й=y к=k л=l м=m н=n о=o п=p р=r с=s т=t у=u ф=f
-х=kh ц=ts ч=ch ш=sh щ=shch ъ= ы=y ь= э=e ю=yu я=ya
-"""
-ARABIC = """
-ا=a ب=b ت=t ث=th ج=j ح=h خ=kh د=d ذ=dh ر=r ز=z س=s ش=sh ص=s ض=d ط=t ظ=z ع=a غ=gh ف=f ق=q ك=k ل=l م=m ن=n
-ه=h و=w ي=y ى=a ة=a أ=a إ=i آ=a ؤ=w ئ=y ء= ّ= َ= ِ= ُ= ً= ٍ= ٌ= ْ= پ=p چ=ch ژ=zh گ=g
-"""
+# How each letter is written; the empty string drops it.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "ye", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
+    "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "А": "A", "Б": "B", "В": "V", "Г": "G", "Д": "D", "Е": "Ye",
+    "Ё": "Yo", "Ж": "Zh", "З": "Z", "И": "I", "Й": "Y", "К": "K", "Л": "L", "М": "M", "Н": "N", "О": "O", "П": "P", "Р": "R", "С": "S", "Т": "T",
+    "У": "U", "Ф": "F", "Х": "Kh", "Ц": "Ts", "Ч": "Ch", "Ш": "Sh", "Щ": "Shch", "Ъ": "", "Ы": "Y", "Ь": "", "Э": "E", "Ю": "Yu", "Я": "Ya",
+}
+ARABIC = {
+    "ا": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh",
+    "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "a", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w",
+    "ي": "y", "ى": "a", "ة": "a", "أ": "a", "إ": "i", "آ": "a", "ؤ": "w", "ئ": "y", "ء": "", "ّ": "", "َ": "", "ِ": "", "ُ": "", "ً": "",
+    "ٍ": "", "ٌ": "", "ْ": "", "پ": "p", "چ": "ch", "ژ": "zh", "گ": "g",
+}
 # Readings used where no dictionary of readings is at hand.
-FEW_HAN = """
-弗=fu 拉=la 基=ji 米=mi 尔=er 普=pu 京=jing 习=xi 近=jin 平=ping 毛=mao 泽=ze 东=dong 邓=deng 小=xiao 江=jiang
-民=min 胡=hu 锦=jin 涛=tao 李=li 克=ke 强=qiang 王=wang 张=zhang 刘=liu 陈=chen 杨=yang 赵=zhao 黄=huang 周=zhou
-吴=wu 徐=xu 孙=sun 马=ma 朱=zhu 林=lin 何=he 郭=guo 罗=luo 梁=liang 宋=song 唐=tang 蔡=cai 金=jin 韩=han
-"""
-# The letters of a Hangul syllable, in the order of its code point; - stands for none.
-INITIALS = "g kk n d tt r m b pp s ss - j jj ch k t p h"
-MEDIALS = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i"
-FINALS = "- g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h"
+FEW_HAN = {
+    "弗": "fu", "拉": "la", "基": "ji", "米": "mi", "尔": "er", "普": "pu", "京": "jing", "习": "xi", "近": "jin", "平": "ping", "毛": "mao", "泽": "ze",
+    "东": "dong", "邓": "deng", "小": "xiao", "江": "jiang", "民": "min", "胡": "hu", "锦": "jin", "涛": "tao", "李": "li", "克": "ke", "强": "qiang",
+    "王": "wang", "张": "zhang", "刘": "liu", "陈": "chen", "杨": "yang", "赵": "zhao", "黄": "huang", "周": "zhou", "吴": "wu", "徐": "xu", "孙": "sun",
+    "马": "ma", "朱": "zhu", "林": "lin", "何": "he", "郭": "guo", "罗": "luo", "梁": "liang", "宋": "song", "唐": "tang", "蔡": "cai", "金": "jin",
+    "韩": "han",
+}
+# The letters of a Hangul syllable, in the order of its code point.
+INITIALS = (
+    "g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h",
+)
+MEDIALS = (
+    "a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i",
+)
+FINALS = (
+    "", "g", "kk", "gs", "n", "nj", "nh", "d", "l", "lg", "lm", "lb", "ls", "lt", "lp", "lh", "m", "b", "bs", "s", "ss", "ng", "j", "ch", "k",
+    "t", "p", "h",
+)
 # Hepburn kana, in the order of their code points from U+3041; small kana are marked by a leading x.
-KANA = """
-xa a xi i xu u xe e xo o ka ga ki gi ku gu ke ge ko go sa za shi ji su zu se ze so zo ta da chi ji xtsu tsu zu te de to do
-na ni nu ne no ha ba pa hi bi pi fu bu pu he be pe ho bo po ma mi mu me mo xya ya xyu yu xyo yo ra ri ru re ro xwa wa i e o n vu
-"""
-#: Readings of Japanese words; more can be passed in.
+KANA = (
+    "xa", "a", "xi", "i", "xu", "u", "xe", "e", "xo", "o", "ka", "ga", "ki", "gi", "ku", "gu", "ke", "ge", "ko", "go", "sa", "za", "shi", "ji",
+    "su", "zu", "se", "ze", "so", "zo", "ta", "da", "chi", "ji", "xtsu", "tsu", "zu", "te", "de", "to", "do", "na", "ni", "nu", "ne", "no", "ha",
+    "ba", "pa", "hi", "bi", "pi", "fu", "bu", "pu", "he", "be", "pe", "ho", "bo", "po", "ma", "mi", "mu", "me", "mo", "xya", "ya", "xyu", "yu",
+    "xyo", "yo", "ra", "ri", "ru", "re", "ro", "xwa", "wa", "i", "e", "o", "n", "vu",
+)
+#: Readings of Japanese words; more can be passed in, or read by ``polynym.functions.lexicon``.
 JAPANESE_WORDS = {"安倍": "abe", "晋三": "shinzou", "東京": "toukyou"}
 HAN = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF))
 
 
-def _table(text: str) -> dict[str, str]:
-    return {a: b for a, _, b in (x.partition("=") for x in text.split())}
-
-
-def _letters(text: str) -> list[str]:
-    return ["" if x == "-" else x for x in text.split()]
-
-
-@functools.cache
-def cyrillic_table() -> dict[str, str]:
-    small = _table(CYRILLIC)
-    return small | {a.upper(): b.capitalize() for a, b in small.items()}
-
-
 def _by_character(text: Column, change: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(F.split(text, ""), change), "")
 
@@ -73,17 +76,17 @@ def _mapped(text: Column, table: dict[str, str]) -> Column:
 
 def transliterate_cyrillic(text: Column) -> Column:
     """Russian letters; others pass."""
-    return _mapped(text, cyrillic_table())
+    return _mapped(text, CYRILLIC)
 
 
 def transliterate_arabic(text: Column) -> Column:
     """Arabic and four Persian letters; vowel marks go, others pass."""
-    return _mapped(text, _table(ARABIC))
+    return _mapped(text, ARABIC)
 
 
 def transliterate_hangul(text: Column) -> Column:
     """Each syllable by its parts, with no space between syllables."""
-    first, middle, last = (F.array(*map(F.lit, _letters(x))) for x in (INITIALS, MEDIALS, FINALS))
+    first, middle, last = (F.array(*map(F.lit, x)) for x in (INITIALS, MEDIALS, FINALS))
 
     def change(c: Column) -> Column:
         at = F.ascii(c) - 0xAC00
@@ -106,7 +109,7 @@ def han_readings(spark: SparkSession) -> dict[str, str]:
     """
     known = _icu_readings()
     if not known:
-        known.update(_table(FEW_HAN))
+        known.update(FEW_HAN)
         jvm = getattr(spark, "_jvm", None)
         if jvm is not None:
             chars = [chr(c) for a, b in HAN for c in range(a, b + 1)]
@@ -115,36 +118,36 @@ def han_readings(spark: SparkSession) -> dict[str, str]:
     return known
 
 
-def _han_run(run: str, readings: dict[str, str]) -> str:
-    return " ".join(readings.get(c, c) for c in run)
+HAN_RUN = re.compile("[㐀-䶿一-鿿]+")
 
 
-HAN_RUN = re.compile("[㐀-䶿一-鿿]+")
+def pinyin(text: str, readings: dict[str, str], words: Lexicon | None = None) -> str:
+    """Each run of ideographs as syllables or known phrases with spaces between; all else verbatim."""
 
+    def read(run: str) -> str:
+        parts = words.segments(run) if words else [(c, None) for c in run]
+        return " ".join(reading if reading is not None else readings.get(part, part) for part, reading in parts)
 
-def pinyin(text: str, readings: dict[str, str]) -> str:
-    """Each run of ideographs as syllables with spaces between; all else verbatim."""
-    return HAN_RUN.sub(lambda m: _han_run(m[0], readings), text)
+    return HAN_RUN.sub(lambda m: read(m[0]), text)
 
 
 def few_han(text: str) -> str:
     """The fallback: the short table, else ``x`` and the code point, with nothing between."""
-    table = _table(FEW_HAN)
-    return HAN_RUN.sub(lambda m: "".join(table.get(c, f"x{ord(c):04x}") for c in m[0]), text)
+    return HAN_RUN.sub(lambda m: "".join(FEW_HAN.get(c, f"x{ord(c):04x}") for c in m[0]), text)
 
 
 def kana(text: str) -> str:
     """Hepburn romanisation of a run of kana."""
-    names, out, double = KANA.split(), [], False
+    out, double = [], False
     for c in text:
         at = ord(c) - (0x60 if ord(c) >= 0x30A1 and ord(c) <= 0x30F6 else 0) - 0x3041
         if c == "ー":
             out.append(out[-1][-1] if out and out[-1] else "")
             continue
-        if not 0 <= at < len(names):
+        if not 0 <= at < len(KANA):
             out.append(c)
             continue
-        name = names[at]
+        name = KANA[at]
         if name == "xtsu":
             double = True
             continue
@@ -161,42 +164,50 @@ def kana(text: str) -> str:
     return "".join(out)
 
 
-def japanese(text: str, words: dict[str, str], readings: dict[str, str]) -> str:
+KINDS = re.compile("[ぁ-ゖー]+|[ァ-ヺー]+|[㐀-䶿一-鿿]|[^ぁ-ゖァ-ヺー㐀-䶿一-鿿]+")
+
+
+def japanese(text: str, words: Lexicon, readings: dict[str, str]) -> str:
     """Known words, runs of kana and the rest as segments with spaces between."""
-    longest = max(map(len, words), default=0)
-    out, at = [], 0
-    kinds = re.compile("[ぁ-ゖー]+|[ァ-ヺー]+|[㐀-䶿一-鿿]|[^ぁ-ゖァ-ヺー㐀-䶿一-鿿]+")
-    while at < len(text):
-        known = next((text[at : at + n] for n in range(longest, 0, -1) if text[at : at + n] in words), None)
-        if known:
-            out.append(words[known])
-            at += len(known)
+    out: list[str] = []
+    unknown = ""
+
+    def rest() -> None:
+        for m in KINDS.finditer(unknown):
+            piece = m[0]
+            out.append(readings.get(piece, piece) if HAN_RUN.fullmatch(piece) else kana(piece) if "ぁ" <= piece[0] <= "ヺ" or piece[0] == "ー" else piece.strip())
+
+    for part, reading in words.segments(text):
+        if reading is None:
+            unknown += part
             continue
-        m = kinds.match(text, at)
-        piece = m[0] if m else text[at]
-        out.append(readings.get(piece, piece) if HAN_RUN.fullmatch(piece) else kana(piece) if "ぁ" <= piece[0] <= "ヺ" or piece[0] == "ー" else piece.strip())
-        at += len(piece)
+        rest()
+        unknown = ""
+        out.append(reading)
+    rest()
     return " ".join(x for x in out if x)
 
 
 HAS_KANA = r"[\x{3040}-\x{30ff}]"
 
 
-def transliterate_cjk(text: Column, spark: SparkSession, full: bool = True) -> Column:
+def transliterate_cjk(text: Column, spark: SparkSession, full: bool = True, words: Words = None) -> Column:
+    """Chinese by phrases of the lexicon, then by character."""
     readings = han_readings(spark) if full else {}
+    lexicon = as_lexicon(words, "zh") if full else None
 
     @F.pandas_udf("string")
     def run(names: pd.Series) -> pd.Series:
-        return names.map(lambda s: pinyin(s, readings) if full else few_han(s), na_action="ignore")
+        return names.map(lambda s: pinyin(s, readings, lexicon) if full else few_han(s), na_action="ignore")
 
     return run(text)
 
 
-def transliterate_japanese(text: Column, spark: SparkSession, words: dict[str, str] | None = None, full: bool = True) -> Column:
+def transliterate_japanese(text: Column, spark: SparkSession, words: Words = None, full: bool = True) -> Column:
     """By known words and kana; without ``full``, as Chinese."""
     if not full:
         return transliterate_cjk(text, spark, False)
-    readings, lexicon = han_readings(spark), JAPANESE_WORDS | (words or {})
+    readings, lexicon = han_readings(spark), as_lexicon(words, "ja", JAPANESE_WORDS)
 
     @F.pandas_udf("string")
     def run(names: pd.Series) -> pd.Series:
@@ -205,10 +216,11 @@ def transliterate_japanese(text: Column, spark: SparkSession, words: dict[str, s
     return run(text)
 
 
-def transliterate_to_latin(text: Column, lang: Column | None = None, spark: SparkSession | None = None, full: bool = True, words: dict[str, str] | None = None) -> Column:
+def transliterate_to_latin(text: Column, lang: Column | None = None, spark: SparkSession | None = None, full: bool = True, words: Words = None) -> Column:
     """To Latin letters by script; Latin, Greek, Devanagari, Hebrew and other texts pass.
 
     CJK is Japanese if ``lang`` is ``ja`` or kana is present. Only CJK leaves the JVM. Null stays null.
+    ``words``: readings of Japanese words (a dict), or a ``LexiconSource`` for both languages.
     """
     spark = spark or SparkSession.active()
     script = detect_script(text)
@@ -216,7 +228,7 @@ def transliterate_to_latin(text: Column, lang: Column | None = None, spark: Spar
     cjk = script == "CJK"
     return (
         F.when(cjk & is_japanese, transliterate_japanese(F.when(cjk & is_japanese, text), spark, words, full))
-        .when(cjk, transliterate_cjk(F.when(cjk & ~is_japanese, text), spark, full))
+        .when(cjk, transliterate_cjk(F.when(cjk & ~is_japanese, text), spark, full, words))
         .when(script == "Cyrillic", transliterate_cyrillic(text))
         .when(script == "Hangul", transliterate_hangul(text))
         .when(script == "Arabic", transliterate_arabic(text))

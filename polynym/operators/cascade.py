@@ -14,6 +14,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from polynym.functions.lexicon import LexiconSource
 from polynym.functions.script import detect_script
 from polynym.functions.similarity import char_ngrams, cosine, jaro_winkler, may_reach_jaro_winkler
 from polynym.functions.text import normalize_for_matching
@@ -40,7 +41,7 @@ class Cascade:
     tier4: float = 0.75
     backend: str = "ngram"
     full_readings: bool = True
-    words: dict[str, str] = field(default_factory=dict, hash=False)
+    words: dict[str, str] | LexiconSource = field(default_factory=dict, hash=False)
     model: Model | None = field(default=None, hash=False)
     more: tuple[Matcher, ...] = ()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +69,10 @@ def language_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transliterate_pins(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(a, b) for a, b, _ in PINS], "name string, lang string")
-    return rows.select("name", "lang", transliterate_to_latin(F.col("name"), F.col("lang"), spark).alias("latin"))
+    """Every part takes one of the pinned names by its key."""
+    pins = F.array(*(F.struct(F.lit(a).alias("name"), F.lit(b).alias("lang")) for a, b, _ in PINS))
+    rows = _t(spark, d, "part").select("p_partkey", F.get(pins, (F.col("p_partkey") % len(PINS)).cast("int")).alias("pin"))
+    return rows.select("p_partkey", transliterate_to_latin(F.col("pin.name"), F.col("pin.lang"), spark).alias("latin"))
 
 
 def name_trigrams(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +103,43 @@ def respelt_latin(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", transliterate_to_latin(F.col("text"), F.lit("ru"), spark).alias("latin"))
 
 
+#: Words of part names in other scripts, each with what it is in Latin letters.
+RUSSIAN = {"large": "Щука", "small": "Ёж", "red": "объезд", "blue": "Юля", "hot": "Чехия", "cold": "хвоя", "old": "Жюль", "new": "Цыц"}
+JAPANESE = {"ring": ("指輪", "yubiwa"), "bolt": ("ボルト", "boruto"), "plate": ("皿", "sara"), "gear": ("歯車", "haguruma"), "widget": ("部品", "buhin"), "rod": ("棒", "bou"), "gizmo": ("きょう", "kyou"), "anvil": ("ばね", "bane")}
+
+
+def _word(column: str, table: dict[str, str], otherwise: F.Column) -> F.Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col(column)), otherwise)
+
+
+def spelt_cyrillic(spark: SparkSession, d: str) -> DataFrame:
+    """Letters that are written as several, as none, and capitals: a word of every part, and its key in Cyrillic letters."""
+    part = _t(spark, d, "part").withColumn("w", F.substring_index("p_name", " ", 1))
+    text = F.concat(_word("w", RUSSIAN, F.lit("щи")), F.translate(_code("p_partkey"), "0123456789abcdef", "щШюЯъЁЖцЧхЬыэЙФл"))
+    return part.select("p_partkey", transliterate_to_latin(text, F.lit("ru"), spark).alias("latin"))
+
+
+def spelt_hangul(spark: SparkSession, d: str) -> DataFrame:
+    """Two syllables of all 11172, with and without final letters, by key."""
+    place = (F.col("p_partkey") * 7919) % 11172
+    text = F.expr("concat(decode(unhex(lpad(hex(44032 + (p_partkey * 7919) % 11172), 4, '0')), 'UTF-16BE'), decode(unhex(lpad(hex(44032 + (p_partkey * 104729) % 11172), 4, '0')), 'UTF-16BE'))")
+    return _t(spark, d, "part").select("p_partkey", place.alias("place"), transliterate_to_latin(text, F.lit("ko"), spark).alias("latin"))
+
+
+def spelt_arabic(spark: SparkSession, d: str) -> DataFrame:
+    """Keys in Arabic letters that are written as one, two or none."""
+    text = F.translate(_code("p_partkey"), "0123456789abcdef", "اثخذشضغقةآؤءَپچژ")
+    return _t(spark, d, "part").select("p_partkey", transliterate_to_latin(text, F.lit("ar"), spark).alias("latin"))
+
+
+def spelt_japanese(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a given lexicon, and kana."""
+    part = _t(spark, d, "part").withColumn("w", F.substring_index("p_name", " ", -1))
+    words = {a: r for a, r in JAPANESE.values() if not re.fullmatch("[ぁ-ヺー]+", a)}
+    text = F.concat(_word("w", {k: a for k, (a, _) in JAPANESE.items()}, F.lit("皿")), F.lit("の"), F.when(F.col("p_partkey") % 2 == 0, "指輪").otherwise("シャツ"))
+    return part.select("p_partkey", transliterate_to_latin(text, F.lit("ja"), spark, words=words).alias("latin"))
+
+
 def behaviour(spark: SparkSession, d: str) -> DataFrame:
     rows = _respelt(spark, d).where("p_partkey % 4 < 2").select(F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("l2_title"))
     return reports.transliteration_behaviour(rows)
@@ -369,7 +409,7 @@ def labels_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     normalize_names, diacritics, title_normalize, url_tail, script_profile, language_pairs, transliterate_pins, name_trigrams, jw_pairs, trigram_cosine_pairs, cascade_pairs,
-    respelt_scripts, respelt_latin, behaviour, cross_script_cascade, missed_pairs, spacing, report_deltas,
+    respelt_scripts, respelt_latin, spelt_cyrillic, spelt_hangul, spelt_arabic, spelt_japanese, behaviour, cross_script_cascade, missed_pairs, spacing, report_deltas,
     resolve_labels, resolve_clusters, cluster_sizes, gold_members, dense_pairs, label_centre_cosine, hard_negatives, hard_negatives_names, jw_distinct_names, lev_negatives, lev_histogram, scored_pairs, confusion_by_tier, per_bucket_f1,
     tier_winner, f1_heatmap, threshold_sweep, outcomes_by_bucket, t3_only_stats, topk_low, near_threshold, pairwise_prf, cluster_prf, lang_pair_report, sitelink_pairs, stratified_extract, labels_pivot,
 )
@@ -449,6 +489,11 @@ def _outcomes(by: str, source: str, threshold: str) -> str:
   count(*) FILTER (NOT t3_hit AND NOT t4_score >= {threshold}) AS neither, count(*) AS n FROM {source} GROUP BY ALL)"""
 
 
+def _spelt(letters: list[str]) -> str:
+    """The hexadecimal digits of a part's hashed key, each written as told."""
+    return f"array_to_string(list_transform(string_split(md5(CAST(p_partkey AS VARCHAR)), ''), lambda c: [{', '.join(map(repr, letters))}][position(c IN '0123456789abcdef')]), '')"
+
+
 def _pairs_of(name: str, cluster: str, more: str = "") -> str:
     return f"{name} AS (SELECT DISTINCT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y USING ({cluster}) WHERE x.p_partkey < y.p_partkey)"
 
@@ -462,7 +507,14 @@ def oracle_sql() -> dict[str, str]:
         "url_tail": "SELECT page_id, string_split(url, '/')[-1] AS tail FROM pages",
         "script_profile": r"SELECT lang, CASE WHEN regexp_matches(text, '[A-Za-z\x{c0}-\x{24f}]') THEN 'Latin' ELSE 'Other' END AS script, count(*) AS n FROM documents GROUP BY ALL",
         "language_pairs": "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT a.lang || '-' || b.lang AS pair, sum(least(a.n, b.n)) AS n FROM c a JOIN c b USING (source) WHERE a.lang < b.lang GROUP BY 1",
-        "transliterate_pins": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in PINS) + ") t(name, lang, latin)",
+        "transliterate_pins": f"SELECT p_partkey, [{', '.join(repr(c) for _, _, c in PINS)}][p_partkey % {len(PINS)} + 1] AS latin FROM part",
+        "spelt_cyrillic": f"""SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'large' THEN 'Shchuka' WHEN 'small' THEN 'Yozh' WHEN 'red' THEN 'obyezd' WHEN 'blue' THEN 'Yulya' WHEN 'hot' THEN 'Chyekhiya' WHEN 'cold' THEN 'khvoya' WHEN 'old' THEN 'Zhyul' WHEN 'new' THEN 'Tsyts' ELSE 'shchi' END
+  || {_spelt(['shch', 'Sh', 'yu', 'Ya', '', 'Yo', 'Zh', 'ts', 'Ch', 'kh', '', 'y', 'e', 'Y', 'F', 'l'])} AS latin FROM part""",
+        "spelt_arabic": f"SELECT p_partkey, {_spelt(['a', 'th', 'kh', 'dh', 'sh', 'd', 'gh', 'q', 'a', 'a', 'w', '', '', 'p', 'ch', 'zh'])} AS latin FROM part",
+        "spelt_hangul": """WITH s AS (SELECT p_partkey, (p_partkey * 7919) % 11172 AS place, (p_partkey * 104729) % 11172 AS other, string_split('g kk n d tt r m b pp s ss  j jj ch k t p h', ' ') AS i,
+  string_split('a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i', ' ') AS m, string_split(' g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h', ' ') AS f FROM part)
+SELECT p_partkey, place, i[place // 588 + 1] || m[place // 28 % 21 + 1] || f[place % 28 + 1] || i[other // 588 + 1] || m[other // 28 % 21 + 1] || f[other % 28 + 1] AS latin FROM s""",
+        "spelt_japanese": "SELECT p_partkey, CASE split_part(p_name, ' ', -1) " + " ".join(f"WHEN '{k}' THEN '{r}{'no' if k in ('gizmo', 'anvil') else ' no'}'" for k, (_, r) in JAPANESE.items()) + " ELSE 'sara no' END || CASE WHEN p_partkey % 2 = 0 THEN ' yubiwa' ELSE ' shatsu' END AS latin FROM part",
         "name_trigrams": f"WITH {PART_NAMES}, {_grams('names')} SELECT nm AS p_name, gram, CAST(tf AS BIGINT) AS tf FROM grams",
         "jw_pairs": f"WITH {PART_NAMES} SELECT least(a.kid, b.kid) AS src, greatest(a.kid, b.kid) AS dst, round(jaro_winkler_similarity(a.nm, b.nm), 6) AS score FROM names a JOIN names b ON a.nm < b.nm WHERE jaro_winkler_similarity(a.nm, b.nm) >= 0.85",
         "trigram_cosine_pairs": f"WITH {PART_NAMES}, {_grams('names')}, s AS (SELECT least(a.kid, b.kid) AS src, greatest(a.kid, b.kid) AS dst, {_cos('a.nm', 'b.nm')} AS score FROM names a JOIN names b ON a.nm < b.nm) SELECT src, dst, round(score, 6) AS score FROM s WHERE score >= 0.5",

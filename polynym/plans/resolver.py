@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from polynym.functions.lexicon import LexiconSource
 from polynym.functions.text import default_id
 from polynym.operators.cascade import Cascade
 from polynym.operators.cluster import collect_clusters, label_components
@@ -20,7 +21,7 @@ from polynym.sources.sinks import write_clusters
 class Resolver:
     """Entity records (idx, id, name, lang, entity_type) to clusters."""
 
-    def __init__(self, tier2: float = 0.85, tier3: float = 0.82, tier4: float = 0.75, full_readings: bool = True, verbose: bool = False, backend: str = "ngram", model: Model | None = None, more: tuple[Matcher, ...] = (), words: dict[str, str] | None = None):
+    def __init__(self, tier2: float = 0.85, tier3: float = 0.82, tier4: float = 0.75, full_readings: bool = True, verbose: bool = False, backend: str = "ngram", model: Model | None = None, more: tuple[Matcher, ...] = (), words: dict[str, str] | LexiconSource | None = None):
         self.cascade = Cascade(tier2, tier3, tier4, backend, full_readings, words or {}, model, more)
         self.verbose = verbose
         self._seen: dict[int, Observation] = {}

@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from polynym.functions import script, similarity, text, translit
+from polynym.functions.lexicon import Lexicon, read_lexicon
+from polynym.operators.cascade import Cascade
 
+# Transliterations that have to come out so.
 LATIN = [
     ("Путин", "", "Putin"), ("Барак Обама", "", "Barak Obama"), ("Малмë", "", "Malmë"), ("百度", "zh", "bai du"), ("习近平", "zh", "xi jin ping"),
     ("輝瑞", "zh", "hui rui"), ("新少林寺/SHAOLIN", "zh", "xin shao lin si/SHAOLIN"), ("iPhone 12 Pro 蘋果", "zh", "iPhone 12 Pro ping guo"),
@@ -13,6 +16,7 @@ LATIN = [
     ("فلاديمير بوتين", "", "fladymyr bwtyn"), ("Vladimir Putin", "", "Vladimir Putin"), ("Malmö", "", "Malmö"), ("", "", ""),
     ("鮑勃·巴雷特", "zh", "bao bo·ba lei te"), ("毛泽东", "zh", "mao ze dong"),
 ]
+# Scores that have to come out so.
 JARO = [
     ("interpol", "gug je hyeong sa gyeong chal gi gu", 0.37663398692810457), ("yle", "pin ran deu il ban bang song", 0.41269841269841273),
     ("albania patos", "pa to seu", 0.4586894586894587), ("parma", "pa reu ma", 0.6444444444444445), ("maria elena kyriakou", "ma ri a el re na ki ri a ku", 0.8103703703703704),
@@ -62,3 +66,22 @@ def test_ngrams_and_vectors(spark):
     assert apply(spark, ["ab", "a", ""], similarity.char_ngrams) == [(["#ab", "ab#"],), (["#a#"],), ([],)]
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0], 1.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0, 0.0], [0.0, 1.0], 0.0)], "a array<float>, b array<float>, w double")
     assert [r[0] == pytest.approx(r[1]) for r in df.select(similarity.cosine(F.col("a"), F.col("b")), "w").collect()] == [True] * 3
+
+
+def test_lexicon_takes_the_cheapest_path():
+    words = Lexicon({"ab": ("AB", 1.0), "abc": ("ABC", 1.0), "cd": ("CD", 1.0), "d": ("D", 1.0), "bcd": ("BCD", 0.5)})
+    assert words.segments("abcd") == [("abc", "ABC"), ("d", "D")], "longer first among equals"
+    assert words.segments("xabcd") == [("x", None), ("abc", "ABC"), ("d", "D")]
+    assert Lexicon({"ab": ("AB", 1.0), "bcd": ("BCD", 0.5), "a": ("A", 0.4)}).segments("abcd") == [("a", "A"), ("bcd", "BCD")], "not the longest match"
+    assert words.segments("") == [] and not Lexicon({})
+
+
+def test_lexicon_by_path(spark, tmp_path):
+    (tmp_path / "words.tsv").write_text("ja\t大阪\toosaka\t\nja\t大\tdai\t1\nja\t城\tjou\t1\nzh\t重庆\tchong qing\t1\nzh\t银行\tyin hang\t1\nzh\t银行\tyin xing\t2\nzh\t\tx\t1\n", encoding="utf-8")
+    words = read_lexicon(spark, str(tmp_path))
+    cases = [("大阪城", "ja", "oosaka jou"), ("東京タワーと大阪", "", "toukyou tawaa to oosaka"), ("安倍晋三", "ja", "abe shinzou"), ("重庆银行X", "zh", "chong qing yin hangX"), ("银子", "zh", "yin zi")]
+    df = spark.createDataFrame(cases, "t string, lang string, want string")
+    for r in df.select("want", translit.transliterate_to_latin(F.col("t"), F.col("lang"), spark, words=words).alias("latin")).collect():
+        assert r.latin == r.want
+    pairs = spark.createDataFrame([("大阪", "Oosaka", "ja", "en", "", "")], "name_a string, name_b string, lang_a string, lang_b string, type_a string, type_b string")
+    assert Cascade(words=words).match_pairs(pairs).first().tier == 3 and Cascade().match_pairs(pairs).first().tier == 4
