@@ -1,22 +1,25 @@
 """A knowledge base's query and label endpoints as Spark sources.
 
-Endpoints cap the request rate for a client as a whole, so a read has as many
-partitions as the caller allows (one by default); each partition's pages are
-fetched on an executor. The transport is any picklable callable, which tests
+Endpoints cap the request rate for a client as a whole. So the moments at which
+requests may be sent are planned for a read, ``rate`` of them a second, and dealt
+out to its partitions by turns (``Slots``); pages are fetched on executors.
+``datasource`` has the same reads for ``spark.read.format``. The transport is any picklable callable, which tests
 replace: ``transport(url, params) -> (status, body)``.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,19 +45,51 @@ def http(url: str, params: dict[str, str], timeout: float = 60) -> tuple[int, st
         return e.code, ""
 
 
+@dataclass
+class Slots:
+    """Moments for requests: slot j is ``j / rate`` seconds after ``start`` and belongs to partition ``j % of``.
+
+    No two partitions share a slot, so a read keeps to the rate however many of
+    them run at once. Clocks of executors have to agree to a fraction of a slot.
+    """
+
+    start: float
+    number: int = 0
+    of: int = 1
+    rate: float = RATE
+    sleep: Callable[[float], None] = time.sleep
+    clock: Callable[[], float] = time.time
+    _last: int = field(init=False, default=-1)
+
+    def wait(self) -> None:
+        first = max(self._last + 1, math.ceil((self.clock() - self.start) * self.rate))
+        self._last = first + (self.number - first) % self.of
+        while (left := self.start + self._last / self.rate - self.clock()) > 0:
+            self.sleep(left)
+
+
 @dataclass
 class Client:
-    """Rate-limited requests; queries are tried again with growing pauses."""
+    """Rate-limited requests; queries are tried again with growing pauses. ``slots``: of a read with several partitions."""
 
     transport: Transport = http
     rate: float = RATE
     tries: int = 5
     sleep: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.monotonic
+    query_url: str = QUERY_URL
+    label_url: str = LABEL_URL
+    slots: Slots | None = None
     _tokens: float = field(init=False, default=-1.0)
     _then: float = field(init=False, default=0.0)
 
+    def planned(self, start: float, number: int, of: int) -> Client:
+        """The client of one partition of a read."""
+        return replace(self, slots=Slots(start, number, of, self.rate))
+
     def _wait(self) -> None:
+        if self.slots is not None:
+            return self.slots.wait()
         while True:
             now = self.clock()
             self._tokens = self.rate if self._tokens < 0 else min(self.rate, self._tokens + (now - self._then) * self.rate)
@@ -70,7 +105,7 @@ class Client:
         for n in range(self.tries):
             self._wait()
             try:
-                status, body = self.transport(QUERY_URL, {"query": text, "format": "json"})
+                status, body = self.transport(self.query_url, {"query": text, "format": "json"})
                 if status == 200:
                     return [{k: v.get("value") for k, v in row.items()} for row in json.loads(body)["results"]["bindings"]]
                 cause = None if status in (429, 503) else ValueError(f"status {status}")
@@ -93,7 +128,7 @@ class Client:
         if not ids:
             return []
         self._wait()
-        status, body = self.transport(LABEL_URL, {"action": "wbgetentities", "ids": "|".join(ids), "props": "labels", "languages": "|".join(languages), "format": "json"})
+        status, body = self.transport(self.label_url, {"action": "wbgetentities", "ids": "|".join(ids), "props": "labels", "languages": "|".join(languages), "format": "json"})
         if status != 200:
             raise RuntimeError(f"status {status}")
         return [(q, lang, info["value"]) for q, e in json.loads(body).get("entities", {}).items() for lang, info in e.get("labels", {}).items()]
@@ -126,14 +161,15 @@ def read_query(spark: SparkSession, query: str, columns: list[str], client: Clie
 
 def read_sitelinks(spark: SparkSession, l1: str, l2: str, per_type: int = 1000, client: Client | None = None, buckets: tuple[tuple[str, str], ...] = TYPE_BUCKETS, partitions: int = 1) -> DataFrame:
     """Title pairs of each type bucket, at most ``per_type`` each, with ``ord`` and ``rn`` for their order."""
-    client = client or Client()
+    client, start = client or Client(), time.time()
     names = ["entity", "l1Title", "l2Title", "type", "typeLabel"]
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = client if partitions == 1 else client.planned(start, TaskContext.get().partitionId(), partitions)
         for batch in batches:
             for i in batch["id"].tolist():
                 q, bucket = buckets[i]
-                rows = client.pages(lambda offset, q=q: sitelink_query(l1, l2, q, min(per_type, PAGE), offset), per_type)
+                rows = mine.pages(lambda offset, q=q: sitelink_query(l1, l2, q, min(per_type, PAGE), offset), per_type)
                 yield pd.DataFrame([[i, n, bucket, *(r.get(c) or "" for c in names)] for n, r in enumerate(rows)], columns=["ord", "rn", "bucket", *names])
 
     rows = spark.range(0, len(buckets), numPartitions=partitions).mapInPandas(fetch, "ord int, rn int, bucket string, " + ", ".join(f"{c} string" for c in names))
