@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -29,9 +32,16 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
     Later steps start from the files, so a lost executor costs no recomputation
     and each expensive stage runs once. (``DataFrame.checkpoint`` computes its
-    input twice.) An empty input gives an empty table with the same schema.
+    input twice.) An empty input gives an empty table with the same schema. The
+    shuffle files of the write go as soon as it is done, since nothing reads them
+    again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
