@@ -2,7 +2,20 @@
 
 import importlib
 
-_PLACES = {"Cascade": "polynym.operators.cascade", "Resolver": "polynym.plans.resolver", "read_entities": "polynym.sources.entities"}
+_NAMES = {
+    "polynym.plans.resolver": ("Resolver",),
+    "polynym.operators.cascade": ("Cascade",),
+    "polynym.operators.matchers": ("EmbeddingMatcher", "Matcher", "PhoneticMatcher"),
+    "polynym.operators.dense": ("Model",),
+    "polynym.operators.cluster": ("collect_clusters", "gold_clusters"),
+    "polynym.operators.metrics": ("cluster_prf", "confusion", "language_report", "pairwise_prf"),
+    "polynym.functions.text": ("normalize_for_matching", "normalize_title", "normalize_unicode", "strip_diacritics"),
+    "polynym.functions.script": ("detect_script", "is_same_script"),
+    "polynym.functions.translit": ("transliterate_to_latin",),
+    "polynym.functions.lexicon": ("read_lexicon",),
+    "polynym.sources.entities": ("read_entities",),
+}
+_PLACES = {name: place for place, names in _NAMES.items() for name in names}
 __all__ = list(_PLACES)
 
 

@@ -47,8 +47,14 @@ def pattern(family: str) -> str:
     return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges()[family]) + "]"
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    return {family: F.regexp_count(text, F.lit(pattern(family))) for family, _ in NAMED}
+#: Up to here all letters are Latin.
+LOW = 0x24F
+
+
+@functools.cache
+def low_latin() -> str:
+    """A class of the Latin letters up to ``LOW``."""
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{min(b, LOW):x}}}" for a, b in ranges()["Latin"] if a <= LOW) + "]"
 
 
 def detect_script(text: Column) -> Column:
@@ -59,13 +65,14 @@ def detect_script(text: Column) -> Column:
     Null, blank and unclassified texts are ``Other``.
     """
     text = F.coalesce(text, F.lit(""))
-    n = script_counts(text)
-    ranked = F.array_max(F.array(*(F.struct(n[f].alias("n"), (-F.regexp_instr(text, F.lit(pattern(f)))).alias("at"), F.lit(f).alias("family")) for f, _ in NAMED)))
+    # Characters up to LOW are Latin or of no family: one pass takes them out, and the families are told by the few that are left.
+    rest = F.regexp_replace(text, rf"[\x00-\x{{{LOW:x}}}]+", "")
+    n = {family: F.regexp_count(rest, F.lit(pattern(family))) for family, _ in NAMED}
+    ranked = F.array_max(F.array(*(F.struct(n[f].alias("n"), (-F.regexp_instr(rest, F.lit(pattern(f)))).alias("at"), F.lit(f).alias("family")) for f, _ in NAMED)))
     mixed = F.coalesce(*(F.when(n[f] > 0, F.lit(f)) for f in BEFORE_LATIN))
     plain = F.when(ranked["n"] > 0, ranked["family"]).otherwise(OTHER)
-    # Most names are plain ASCII: one cheap test spares them the eight counts.
-    ascii_only = text.rlike(r"^[\x00-\x7f]*$")
-    return F.when(ascii_only, F.when(text.rlike("[A-Za-z]"), F.lit("Latin")).otherwise(OTHER)).when(n["Latin"] > 0, F.coalesce(mixed, F.lit("Latin"))).otherwise(plain)
+    latin = text.rlike(low_latin())
+    return F.when(rest == "", F.when(latin, F.lit("Latin")).otherwise(OTHER)).when(latin | (n["Latin"] > 0), F.coalesce(mixed, F.lit("Latin"))).otherwise(plain)
 
 
 def is_same_script(a: Column, b: Column) -> Column:

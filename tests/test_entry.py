@@ -36,3 +36,9 @@ def test_works_without_the_llm_folders(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'resolve_labels' in e.queries() and not [q for q in e.queries() if q.startswith('op')]"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin"}, check=False).returncode == 0
+
+
+def test_exports():
+    import polynym
+
+    assert all(callable(getattr(polynym, name)) for name in polynym.__all__)

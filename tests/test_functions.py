@@ -1,5 +1,8 @@
 """Pinned values of the scalar functions."""
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +65,25 @@ def test_scripts(spark):
     assert [x for (x,) in apply(spark, cases, script.detect_script)] == list(cases.values())
 
 
+def test_script_by_counting_characters(spark):
+    """Random mixtures against the names of their characters."""
+    rnd = random.Random(31)
+    pool = "aZé×ªµɏſ 1ßабЖ漢字かカ한글ابΩאदﬁＡ𝒳々〆"
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 6))) for _ in range(400)]
+
+    def want(text):
+        count = {}
+        for c in text:
+            family = next((f for f, words in script.NAMED if any(w in unicodedata.name(c, "") for w in words)), None)
+            if family:
+                count[family] = count.get(family, 0) + 1
+        if "Latin" in count:
+            return next((f for f in script.BEFORE_LATIN if f in count), "Latin")
+        return max(count, key=count.get) if count else "Other"
+
+    assert [x for (x,) in apply(spark, texts, script.detect_script)] == [want(t) for t in texts]
+
+
 def test_ngrams_and_vectors(spark):
     assert apply(spark, ["ab", "a", ""], similarity.char_ngrams) == [(["#ab", "ab#"],), (["#a#"],), ([],)]
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0], 1.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0, 0.0], [0.0, 1.0], 0.0)], "a array<float>, b array<float>, w double")
