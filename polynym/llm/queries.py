@@ -71,7 +71,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"), _model("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return token_counts.suffix_sums(materialize(token_counts.histogram(lengths), "lengths"))
+    return token_counts.with_percentiles(token_counts.suffix_sums(materialize(token_counts.histogram(lengths), "lengths")))
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,13 +36,14 @@ def length_batches(ranks: bytes, pattern: str) -> Callable[[Batches], Batches]:
 
 
 def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
-    """``(n_tokens, *keep)``, one row for each row of ``docs``; null and empty texts have no tokens.
+    """``(n_tokens, *keep)``, one row for each row of ``docs``; null and empty texts have no tokens. Kept columns may have any name but ``n_tokens``; no rows give none.
 
     The vocabulary (under a megabyte) is read on the driver and sent with the task.
     """
     with open(ranks_path, "rb") as f:
         ranks = f.read()
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), *keep)
+    text = "_" * (1 + max(map(len, keep), default=0))  # no name of a kept column
+    rows = docs.select(F.col(text_col).cast("string").alias(text), *keep)
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(length_batches(ranks, pattern), ", ".join(["n_tokens long", *(f"`{c}` {kinds[c]}" for c in keep)]))
 
@@ -90,3 +91,14 @@ def quantiles(sums: DataFrame, fractions: list[float]) -> list[int | None]:
     up_to = F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")
     row = sums.agg(*(F.min(F.when(up_to >= F.lit(q) * F.col("total_docs"), F.col("length"))).alias(f"q{i}") for i, q in enumerate(fractions))).first()
     return list(row)
+
+
+def with_percentiles(sums: DataFrame) -> DataFrame:
+    """``sums`` with ``from_percent`` and ``to_percent``: the whole percents p for which ``length`` is the p-quantile.
+
+    That is the smallest length that at least p percent of the documents do not
+    exceed. Where none is, ``from_percent`` is greater. Exact integers throughout.
+    """
+    up_to = F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")
+    whole = lambda docs: (100 * docs - F.pmod(100 * docs, F.col("total_docs"))) / F.col("total_docs")
+    return sums.withColumns({"from_percent": (whole(up_to - F.col("n_docs")) + 1).cast("long"), "to_percent": whole(up_to).cast("long")})
