@@ -204,8 +204,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, leading: int =
     a count, and a block pair gives counts and a spanning forest, so no group is
     listed pair by pair. Vectors of different lengths never link. Rows that
     repeat a ``vec_id`` are counted as vectors, and are one node. Directions are
-    fitted on at most ``sample`` vectors; this affects speed only. Other columns
-    are not read.
+    fitted on at most ``sample`` vectors; this affects speed only. ``vec_id`` is an
+    integer, or text that is one. Other columns are not read.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -242,3 +242,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, leading: int =
     out = rows.where(fine).join(named, ["label", "vector"]).select("vec_id", "links", "component")
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long"), "vec_id")
     return out.union(alone).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def oracle(threshold: float) -> str:
+    """DuckDB SQL of ``near_duplicates`` over embeddings, by comparing all pairs of a label."""
+    fine = "label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE {fine}),
+l AS (SELECT a.vec_id AS s, b.vec_id AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {threshold}),
+reach AS (SELECT vec_id AS n, vec_id AS r FROM embeddings UNION SELECT reach.n, l.d FROM reach JOIN l ON l.s = reach.r),
+roots AS (SELECT n, min(r) AS component_id FROM reach GROUP BY 1), links AS (SELECT s, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN roots ON n = vec_id LEFT JOIN links ON s = vec_id"""

@@ -111,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_epsilon_grid": epsilon_grid.oracle(0.98),
         "op7_warc_revisits": warc.oracle(100),
         "op8_poisson_mix": mixing.oracle(WEIGHTS, 1.0, 1.0, 42, "doc_id, text, lang, source, n_chars"),
         "op11_exact_dedup": exact_dedup.oracle(),
