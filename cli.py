@@ -22,9 +22,44 @@ def parser() -> argparse.ArgumentParser:
     evaluate.add_argument("--output", required=True, help="folder of reports, OUTPUT/xx_yy/REPORT")
     evaluate.add_argument("--pair", nargs=2, action="append", metavar=("L1", "L2"), help="only this pair; may be given again")
     evaluate.add_argument("--force", action="store_true", help="make reports again that are there")
+    extract = commands.add_parser("extract", help="title pairs of the knowledge base, written to OUTPUT/xx_yy/sitelinks.jsonl")
+    extract.add_argument("--output", required=True, help="folder of language pairs, on any store that Spark writes")
+    # The language pairs and rows of each type bucket that are extracted by default.
+    extract.add_argument("--pair", nargs=2, action="append", metavar=("L1", "L2"), help="may be given again (default: en de, en zh)")
+    extract.add_argument("--n-per-type", type=int, default=100)
+    extract.add_argument("--force", action="store_true", help="extract again what is there")
+    extract.add_argument("--url", help="another endpoint")
+    smoke = commands.add_parser("smoke", help="ask the endpoint for three title pairs")
+    smoke.add_argument("--url", help="another endpoint")
     return top
 
 
+def run_extract(args: argparse.Namespace) -> int:
+    from polynym.session import session
+    from polynym.sources.entities import read_report
+    from polynym.sources.remote import Client, read_sitelinks
+
+    client = Client(query_url=args.url) if args.url else Client()
+    for l1, l2 in args.pair or [("en", "de"), ("en", "zh")]:
+        target = f"{args.output.rstrip('/')}/{l1}_{l2}/sitelinks.jsonl"
+        if not args.force and read_report(session(), target, "qid string") is not None:
+            continue
+        pairs = read_sitelinks(session(), l1, l2, args.n_per_type, client)
+        pairs.orderBy("ord", "rn").drop("ord", "rn").write.mode("overwrite").json(target)
+        print(f"Pairs: {target}")
+    return 0
+
+
+def run_smoke(args: argparse.Namespace) -> int:
+    from polynym.sources.remote import Client, sitelink_query
+
+    rows = (Client(query_url=args.url) if args.url else Client()).query(sitelink_query("en", "ru", "Q5", 3))
+    print(f"{len(rows)} rows")
+    for row in rows:
+        print(f"  {row.get('l1Title')} | {row.get('l2Title')} | {row.get('entity')}")
+    return 0 if rows else 1
+
+
 def run_evaluate(args: argparse.Namespace) -> int:
     from polynym.plans.evaluation import evaluate
     from polynym.session import session
@@ -47,8 +82,9 @@ def run_evaluate(args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None) -> int:
     top = parser()
     args = top.parse_args(argv)
-    if args.command == "evaluate":
-        return run_evaluate(args)
+    run = {"evaluate": run_evaluate, "extract": run_extract, "smoke": run_smoke}.get(args.command)
+    if run:
+        return run(args)
     if args.command != "resolve":
         top.print_help()
         return 0

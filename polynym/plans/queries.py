@@ -294,6 +294,14 @@ def missed_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("ascii").alias("ascii"), F.count_if("has_latin").alias("latin"), F.count_if("has_kana").alias("kana"))
 
 
+def missed_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What second titles of several scripts look like where no tier found them; hits and scores follow from the key."""
+    k = F.col("p_partkey")
+    l2 = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, F.concat(F.lit("カ "), "p_name")).when(k % 4 == 2, F.lit("ひらがな")).otherwise(F.lit("имя é"))
+    rows = _t(spark, d, "part").select(F.col("p_type").alias("bucket"), l2.alias("l2"), (k % 3 == 0).alias("t3_hit"), ((k % 100) / 100).alias("t4_score"))
+    return reports.missed_by_both(rows).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("ascii").alias("ascii"), F.count_if("has_latin").alias("latin"), F.count_if("has_kana").alias("kana"))
+
+
 def spacing(spark: SparkSession, d: str) -> DataFrame:
     """Second titles as they are, and with a space after the first letter."""
     pairs = _pairs(spark, d).withColumn("spaced", F.regexp_replace("l2_title", "^(.)(.)", "$1 $2"))
@@ -409,7 +417,7 @@ def labels_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     normalize_names, diacritics, title_normalize, url_tail, script_profile, language_pairs, transliterate_pins, name_trigrams, jw_pairs, trigram_cosine_pairs, cascade_pairs,
-    respelt_scripts, respelt_latin, spelt_cyrillic, spelt_hangul, spelt_arabic, spelt_japanese, behaviour, cross_script_cascade, missed_pairs, spacing, report_deltas,
+    respelt_scripts, respelt_latin, spelt_cyrillic, spelt_hangul, spelt_arabic, spelt_japanese, behaviour, cross_script_cascade, missed_pairs, missed_kinds, spacing, report_deltas,
     resolve_labels, resolve_clusters, cluster_sizes, gold_members, dense_pairs, label_centre_cosine, hard_negatives, hard_negatives_names, jw_distinct_names, lev_negatives, lev_histogram, scored_pairs, confusion_by_tier, per_bucket_f1,
     tier_winner, f1_heatmap, threshold_sweep, outcomes_by_bucket, t3_only_stats, topk_low, near_threshold, pairwise_prf, cluster_prf, lang_pair_report, sitelink_pairs, stratified_extract, labels_pivot,
 )
@@ -538,6 +546,7 @@ SELECT name_a, name_b, CASE turn WHEN 3 THEN false WHEN 2 THEN jw >= 0.82 ELSE t
   CASE WHEN turn = 0 THEN 'Cascade/exact' WHEN turn = 3 THEN 'Cascade/empty' WHEN turn = 1 OR jw >= 0.82 THEN 'PhoneticMatcher' ELSE 'EmbeddingMatcher' END AS method,
   round(CASE WHEN turn = 3 THEN 0.0 WHEN turn IN (0, 1) THEN 1.0 WHEN jw >= 0.82 THEN jw ELSE 0.0 END, 6) AS score FROM u""",
         "missed_pairs": f"WITH {SCORED} SELECT bucket, count(*) AS n, count(*) AS ascii, count(*) AS latin, CAST(0 AS BIGINT) AS kana FROM scored WHERE NOT t3_hit AND t4_score < 0.75 GROUP BY 1",
+        "missed_kinds": "SELECT p_type AS bucket, count(*) AS n, count(*) FILTER (p_partkey % 4 = 0) AS ascii, count(*) FILTER (p_partkey % 4 < 2) AS latin, count(*) FILTER (p_partkey % 4 IN (1, 2)) AS kana FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 100 < 75 GROUP BY 1",
         "spacing": f"""WITH {PAIRS}, j AS (SELECT jaro_winkler_similarity(lower(l1_title), l2_title) AS s, jaro_winkler_similarity(lower(l1_title), regexp_replace(l2_title, '^(.)(.)', '\\1 \\2')) AS t FROM pairs)
 SELECT round(count(*) FILTER (s >= 0.82) / count(*), 6) AS standard_recall, round(count(*) FILTER (t >= 0.82) / count(*), 6) AS spaced_recall, count(*) FILTER (t >= 0.82 AND s < 0.82) AS spaced_only, count(*) FILTER (s >= 0.82 AND t < 0.82) AS standard_only,
   count(*) FILTER (s < 0.82 AND t < 0.82) AS missed, count(*) FILTER (s < 0.82 AND t < 0.82 AND greatest(s, t) >= 0.7) AS near, count(*) FILTER (s < 0.82 AND t < 0.82 AND greatest(s, t) < 0.5) AS far FROM j""",

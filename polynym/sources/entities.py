@@ -45,7 +45,8 @@ def read_sitelinks(spark: SparkSession, path: str) -> DataFrame:
 def read_pair_folders(spark: SparkSession, root: str, name: str = "sitelinks.jsonl") -> DataFrame:
     """Pairs under ``root/xx_yy/name``, with ``l1`` and ``l2`` from the folder, split at the first underscore."""
     rows = spark.read.schema(SITELINK).option("mode", "FAILFAST").json(f"{root}/*/{name}")
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    # The name may be a file's or that of a folder of parts.
+    folder = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/\Q{name}\E(?:/|$)", 1)
     return rows.select("*", folder.alias("_folder")).select(*rows.columns, F.substring_index("_folder", "_", 1).alias("l1"), F.expr("substring(_folder, instr(_folder, '_') + 1)").alias("l2"))
 
 
@@ -62,6 +63,17 @@ def read_report(spark: SparkSession, path: str, schema: str | None = None) -> Da
         raise
 
 
+def adapt_report(report: DataFrame) -> DataFrame:
+    """A report in today's layout; the first report was written before it had a language pair, and is of English and Russian."""
+    if {"language_pair", "t4_threshold_sweep"} <= set(report.columns):
+        return report
+    null = F.lit(None)
+    # The pair and the number of rows of that report.
+    n_pairs = F.coalesce(F.col("normalized.n_pairs"), F.lit(375)) if "normalized" in report.columns else F.lit(375)
+    sweep, only = (F.col(c) if c in report.columns else null for c in ("t4_threshold_sweep", "t3_only_inspection"))
+    return report.select(F.lit("en_ru").alias("language_pair"), n_pairs.cast("long").alias("n_pairs"), sweep.alias("t4_threshold_sweep"), only.alias("t3_only_inspection_at_default"))
+
+
 def type_buckets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, q, b) for i, (q, b) in enumerate(TYPE_BUCKETS)], "ord int, type string, bucket string")
 

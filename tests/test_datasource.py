@@ -9,7 +9,8 @@ from urllib.parse import parse_qs, urlparse
 
 import pytest
 
-from polynym.sources import remote
+import cli
+from polynym.sources import entities, remote
 from polynym.sources.datasource import SitelinkSource
 from polynym.sources.schema import TYPE_BUCKETS
 
@@ -94,3 +95,25 @@ def test_slots_are_shared_by_turns():
     now[0] = 110.2
     slots[0].wait()
     assert now[0] == 110.5, "slots of the past are not made up for"
+
+
+def test_commands_that_ask_the_endpoint(spark, server, tmp_path, capsys):
+    url, seen = server
+    assert cli.main(["smoke", "--url", url]) == 0
+    assert "3 rows" in capsys.readouterr().out
+    args = ["extract", "--output", str(tmp_path), "--pair", "en", "ru", "--n-per-type", "2", "--url", url]
+    assert cli.main(args) == 0
+    found = entities.read_pair_folders(spark, str(tmp_path)).collect()
+    assert len(found) == sum(min(2, n) for n in SIZES.values()) and {(r.l1, r.l2) for r in found} == {("en", "ru")}
+    asked = len(seen)
+    assert cli.main(args) == 0 and len(seen) == asked, "what is there stays"
+
+
+def test_reports_of_the_first_layout(spark, tmp_path):
+    (tmp_path / "old.json").write_text('{"normalized": {"n_pairs": 9}, "t4_threshold_sweep": [{"t": 0.5}], "t3_only_inspection": {"n": 1}}')
+    (tmp_path / "bare.json").write_text('{"t4_threshold_sweep": [{"t": 0.5}]}')
+    (tmp_path / "new.json").write_text('{"language_pair": "en_de", "n_pairs": 4, "t4_threshold_sweep": []}')
+    read = lambda name: entities.adapt_report(entities.read_report(spark, str(tmp_path / name))).first()
+    old = read("old.json")
+    assert (old.language_pair, old.n_pairs, old.t4_threshold_sweep[0].t, old.t3_only_inspection_at_default.n) == ("en_ru", 9, 0.5, 1)
+    assert read("bare.json").n_pairs == 375 and read("new.json").language_pair == "en_de"
