@@ -194,7 +194,8 @@ class Cascade:
         """Pairs of equal ``on`` whose types are equal or of which one has none, as equi-joins."""
         a, b = rows.withColumnRenamed("kid", "src"), rows.withColumnRenamed("kid", "dst")
         typed = a.where("etype <> ''").join(b.where("etype <> ''"), [*on, "etype"]).where("src < dst").select("src", "dst")
-        free = a.where("etype = ''").select("src", *on).join(b.select("dst", *on), on).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        # Of two without a type each is on both sides, so one order is enough.
+        free = a.where("etype = ''").select("src", *on).join(b.select("dst", "etype", *on), on).where("src < dst or etype <> '' and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         return typed.union(free).distinct()
 
     def last_links(self, rows: DataFrame) -> DataFrame:

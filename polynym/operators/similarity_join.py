@@ -103,7 +103,9 @@ def keyed_by_jaro_winkler(rows: DataFrame, text: str, threshold: float, often: d
     def keys(texts: pd.Series) -> pd.Series:
         return texts.map(lambda s: list(jaro_winkler_keys(s, threshold, counts)) if s else None)
 
-    return rows.withColumn("token", F.explode(keys(F.col(text))))
+    # Keys are much work for few bytes, so rows are dealt to all tasks; the keys are written once, for both sides of a join.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartition(parts).withColumn("token", F.explode(keys(F.col(text)))), "jaro-winkler-keys")
 
 
 # -- edit distance -----------------------------------------------------------------

@@ -263,7 +263,7 @@ def jw_distinct_names(spark: SparkSession, d: str) -> DataFrame:
     """Names that occur once each (20000 of them at sf0.1)."""
     names = _names(spark, d).groupBy("name").agg(F.min("p_partkey").alias("kid"))
     keys = Cascade().derive(names.withColumns({"lang": F.lit("en"), "entity_type": F.lit("")}))
-    return Cascade().fuzzy_links(keys, "norm", 0.88, 2).select("src", "dst", _r("score", "score"))
+    return Cascade().fuzzy_links(keys, "norm", 0.92, 2).select("src", "dst", _r("score", "score"))
 
 
 def hard_negatives_names(spark: SparkSession, d: str) -> DataFrame:
@@ -555,7 +555,7 @@ SELECT bucket, count(*) FILTER (t3_hit AND t4_raw >= 0.6) - count(*) FILTER (t3_
   count(*) FILTER (NOT t3_hit AND t4_raw < 0.6) - count(*) FILTER (NOT t3_hit AND t4_raw < 0.75) AS delta_neither FROM pos GROUP BY 1""",
         "label_centre_cosine": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], first::DOUBLE[]), 6) AS score FROM embeddings JOIN f USING (label)",
         "hard_negatives": f"WITH {NEGATIVES} SELECT idx, l1_title, m.l2 AS l2_title, bucket, qid AS positive_qid, m.o AS negative_qid, round(m.jw, 6) AS l1_jw_to_source, 'negative' AS label FROM best",
-        "jw_distinct_names": f"WITH {NAMES}, names AS (SELECT nm, min(p_partkey) AS kid FROM own GROUP BY 1) SELECT least(a.kid, b.kid) AS src, greatest(a.kid, b.kid) AS dst, round(jaro_winkler_similarity(a.nm, b.nm), 6) AS score FROM names a JOIN names b ON a.nm < b.nm WHERE jaro_winkler_similarity(a.nm, b.nm) >= 0.88",
+        "jw_distinct_names": f"WITH {NAMES}, names AS (SELECT nm, min(p_partkey) AS kid FROM own GROUP BY 1) SELECT least(a.kid, b.kid) AS src, greatest(a.kid, b.kid) AS dst, round(jaro_winkler_similarity(a.nm, b.nm), 6) AS score FROM names a JOIN names b ON a.nm < b.nm WHERE jaro_winkler_similarity(a.nm, b.nm) >= 0.92",
         "hard_negatives_names": f"""WITH {NAMES}, best AS (SELECT p.p_partkey AS idx, p.p_brand AS bucket, arg_max(struct_pack(l2 := q.nm, o := q.p_type, jw := jaro_winkler_similarity(least(p.nm, q.nm), greatest(p.nm, q.nm))), struct_pack(a := jaro_winkler_similarity(least(p.nm, q.nm), greatest(p.nm, q.nm)), b := -q.p_partkey)) AS m
   FROM own p JOIN own q ON p.p_brand = q.p_brand AND p.p_type <> q.p_type GROUP BY ALL) SELECT idx, bucket, m.l2 AS l2_title, m.o AS negative_qid, round(m.jw, 6) AS jw FROM best""",
         "lev_negatives": f"{LEV} SELECT * FROM n WHERE rank <= 3",
