@@ -10,6 +10,7 @@ from polynym.functions.similarity import jaro_winkler
 from polynym.functions.text import normalize_for_matching, normalize_title
 from polynym.functions.translit import transliterate_to_latin
 from polynym.operators.cascade import Cascade
+from polynym.operators.materialize import materialize
 from polynym.operators.metrics import ratio
 
 THRESHOLDS = (0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9)
@@ -22,6 +23,8 @@ def score_pairs(pairs: DataFrame, cascade: Cascade, l1: str = "", l2: str = "")
     for side, lang in (("l1", l1), ("l2", l2)):
         latin = transliterate_to_latin(F.col(side), F.lit(lang), spark, cascade.full_readings, cascade.words)
         named = named.withColumns({f"_{side}": normalize_for_matching(latin), f"_script_{side}": detect_script(F.col(side))})
+    # Written, so that scores are planned in terms of columns: those of titles are large, and scores name them dozens of times.
+    named = materialize(named, "title-forms")
     jw = F.when((F.col("_l1") == "") | (F.col("_l2") == ""), 0.0).otherwise(jaro_winkler(F.col("_l1"), F.col("_l2")))
     return named.select(*pairs.columns, "l1", "l2", (jw >= cascade.tier3).alias("t3_hit"), cascade.pair_cosine("l1", "l2").alias("t4_score"), (F.col("_script_l1") == F.col("_script_l2")).alias("same_script"))
 

@@ -16,6 +16,7 @@ from polynym.operators import metrics, negatives, reports
 from polynym.operators.cascade import Cascade
 from polynym.operators.cluster import cluster_sizes as sizes_of
 from polynym.operators.cluster import collect_clusters, gold_clusters
+from polynym.operators.materialize import materialize
 from polynym.plans.resolver import Resolver
 from polynym.sources.entities import sitelink_pairs as joined_sitelinks
 from polynym.sources.entities import stratified
@@ -280,9 +281,10 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     pos = _pairs(spark, d).select("idx", "l1_title", "l2_title", "bucket", F.lit(True).alias("positive"))
     neg = negatives.hard_negatives(_pairs(spark, d)).select("idx", "l1_title", "l2_title", "bucket", F.lit(False).alias("positive"))
     rows = pos.unionByName(neg)
-    # A pair of titles is scored once, however often it occurs.
+    # A pair of titles is scored once, however often it occurs. Scores are written, since a filter on them would be
+    # rewritten in terms of the titles: expressions so large that the driver plans for minutes, whatever the tables' size.
     titles = rows.select("l1_title", "l2_title").distinct()
-    return rows.join(reports.score_pairs(titles, TIERS), ["l1_title", "l2_title"])
+    return rows.join(materialize(reports.score_pairs(titles, TIERS), "scores"), ["l1_title", "l2_title"])
 
 
 def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
