@@ -31,15 +31,21 @@ def hard_negatives(pairs: DataFrame, levels: tuple[float, ...] = LEVELS, few: in
     fine = pairs.where("l1_title is not null and qid is not null and bucket is not null")
     rows = materialize(fine.select("idx", "qid", "l1_title", "l2_title", "bucket"), "negative-rows")
     # Of each title's rows, the first and the first of another qid are all that can win.
-    per = Window.partitionBy("bucket", "l1_title", "qid").orderBy("idx")
-    firsts = rows.withColumn("_k", F.row_number().over(per)).where("_k = 1").drop("_k")
-    ranked = Window.partitionBy("bucket", "l1_title").orderBy("idx")
-    firsts = materialize(firsts.withColumn("_k", F.row_number().over(ranked)).where("_k <= 2").select("bucket", F.col("l1_title").alias("other"), F.col("qid").alias("q_qid"), F.col("idx").alias("q_idx"), F.col("l2_title").alias("q_l2")), "negative-firsts")
+    firsts = rows.groupBy("bucket", "l1_title", "qid").agg(F.min(F.struct("idx", "l2_title")).alias("q"))
+    ranked = Window.partitionBy("bucket", "l1_title").orderBy("q")
+    firsts = materialize(firsts.withColumn("_k", F.row_number().over(ranked)).where("_k <= 2").select("bucket", F.col("l1_title").alias("other"), F.col("qid").alias("q_qid"), F.col("q.idx").alias("q_idx"), F.col("q.l2_title").alias("q_l2")), "negative-firsts")
 
     def best(found: DataFrame, of: DataFrame) -> DataFrame:
-        """Of each row, the best of the ``found`` (bucket, l1_title, other, jw)."""
-        p = of.select("idx", "qid", "l1_title", "bucket").join(found, ["bucket", "l1_title"]).join(firsts, ["bucket", "other"]).where("qid <> q_qid")
-        return p.groupBy("idx", "qid", "l1_title", "bucket").agg(F.max(F.struct("jw", (-F.col("q_idx")).alias("first"), "q_l2", "q_qid")).alias("best"))
+        """Of each row, the best of the ``found`` (bucket, l1_title, other, jw).
+
+        A title's best and its best of another qid are told once; its rows, however many they are, take one of the two.
+        """
+        met = found.join(firsts, ["bucket", "other"]).withColumn("q", F.struct("jw", (-F.col("q_idx")).alias("first"), "q_l2", "q_qid"))
+        of_qid = met.groupBy("bucket", "l1_title", "q_qid").agg(F.max("q").alias("q"))
+        two = of_qid.withColumn("_k", F.row_number().over(Window.partitionBy("bucket", "l1_title").orderBy(F.desc("q")))).where("_k <= 2")
+        won = two.groupBy("bucket", "l1_title").agg(*(F.max(F.when(F.col("_k") == k, F.col("q"))).alias(f"_{k}") for k in (1, 2)))
+        p = of.select("idx", "qid", "l1_title", "bucket").join(won, ["bucket", "l1_title"])
+        return p.select("idx", "qid", "l1_title", "bucket", F.when(F.col("qid") != F.col("_1.q_qid"), F.col("_1")).otherwise(F.col("_2")).alias("best")).where("best is not null")
 
     titles = materialize(rows.select("bucket", "l1_title").distinct(), "negative-titles")
     small = titles.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") <= few).select("bucket")

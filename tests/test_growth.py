@@ -19,3 +19,15 @@ def test_filters_on_scores_are_planned_by_columns(spark):
     scored = core._scored(spark, str(SMALL))
     assert "regexp" not in plan(reports.phonetic_only(scored, 0.75))
     assert "regexp" not in plan(reports.lowest(reports.phonetic_only(scored, 0.75), 10))
+
+
+def test_rows_of_a_title_take_one_of_its_two_best(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(negatives, "materialize", lambda df, label="step": made.append((label, plan(df))) or df)
+    rows = [(i, f"q{i % 7}", f"title {i % 5}", f"t {i}", "b") for i in range(70)]
+    df = spark.createDataFrame(rows, "idx long, qid string, l1_title string, l2_title string, bucket string")
+    got = negatives.hard_negatives(df).orderBy("idx").collect()
+    assert not [p for label, p in made if label == "negative-best" and "Aggregate [idx#" in p]
+    # Each title has rows of all qids, so the first row of the same title and another qid wins.
+    want = [(i, min((j for j in range(70) if j % 5 == i % 5 and j % 7 != i % 7))) for i in range(70)]
+    assert [(r.idx, r.l2_title) for r in got] == [(i, f"t {j}") for i, j in want]
