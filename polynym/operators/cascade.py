@@ -21,7 +21,7 @@ from polynym.functions.text import normalize_for_matching
 from polynym.functions.translit import transliterate_to_latin
 from polynym.operators.dense import Model, encode, keyed_by_angle
 from polynym.operators.materialize import materialize
-from polynym.operators.similarity_join import keyed_by_jaro_winkler
+from polynym.operators.similarity_join import keyed_by_jaro_winkler, mate
 
 if TYPE_CHECKING:
     from polynym.operators.matchers import Matcher
@@ -187,12 +187,13 @@ class Cascade:
     def jaro_winkler_candidates(self, side: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
         """Pairs (src < dst) that hold every pair of the threshold or more, types compatible: an equi-join on prefixes, lengths and rare letters."""
         tokens = keyed_by_jaro_winkler(side.select("kid", "etype", *keys, "form"), "form", threshold)
-        return self.typed_pairs(tokens.drop("form"), [*keys, "token"])
+        tokens = tokens.drop("form")
+        return self.typed_pairs(tokens, [*keys, "token"], tokens.withColumn("token", mate(F.col("token"))))
 
     @staticmethod
-    def typed_pairs(rows: DataFrame, on: list[str]) -> DataFrame:
-        """Pairs of equal ``on`` whose types are equal or of which one has none, as equi-joins."""
-        a, b = rows.withColumnRenamed("kid", "src"), rows.withColumnRenamed("kid", "dst")
+    def typed_pairs(rows: DataFrame, on: list[str], other: DataFrame | None = None) -> DataFrame:
+        """Pairs of equal ``on`` whose types are equal or of which one has none, as equi-joins; ``other``: the same rows as the second of a pair has them."""
+        a, b = rows.withColumnRenamed("kid", "src"), (rows if other is None else other).withColumnRenamed("kid", "dst")
         typed = a.where("etype <> ''").join(b.where("etype <> ''"), [*on, "etype"]).where("src < dst").select("src", "dst")
         # Of two without a type each is on both sides, so one order is enough.
         free = a.where("etype = ''").select("src", *on).join(b.select("dst", "etype", *on), on).where("src < dst or etype <> '' and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polynym.functions.similarity import jaro_winkler
 from polynym.operators.materialize import materialize
-from polynym.operators.similarity_join import edit_pairs, keyed_by_jaro_winkler, letter_counts
+from polynym.operators.similarity_join import edit_pairs, keyed_by_jaro_winkler, lengths_of, letter_counts, mate
 
 #: Edit distances at which near titles are looked for before the largest one.
 DISTANCES = (1, 3)
@@ -56,8 +56,8 @@ def hard_negatives(pairs: DataFrame, levels: tuple[float, ...] = LEVELS, few: in
         if level is None:
             met = seeking.join(other, "bucket")
         else:
-            a, b = keyed_by_jaro_winkler(seeking, "l1_title", level, often), keyed_by_jaro_winkler(other.join(seeking.select("bucket").distinct(), "bucket", "left_semi"), "other", level, often)
-            met = a.join(b, ["bucket", "token"]).select("bucket", "l1_title", "other").distinct()
+            a, b = keyed_by_jaro_winkler(seeking, "l1_title", level, *often), keyed_by_jaro_winkler(other.join(seeking.select("bucket").distinct(), "bucket", "left_semi"), "other", level, *often)
+            met = a.join(b.withColumn("token", mate(F.col("token"))), ["bucket", "token"]).select("bucket", "l1_title", "other").distinct()
         # In one order, so that a pair's score is the same from both sides to the last bit.
         jw = jaro_winkler(F.least("l1_title", "other"), F.greatest("l1_title", "other"))
         found = met.where("l1_title <> other").withColumn("jw", jw)
@@ -73,7 +73,7 @@ def hard_negatives(pairs: DataFrame, levels: tuple[float, ...] = LEVELS, few: in
         rows = materialize(rows.join(done.select("idx"), "idx", "left_anti"), "negative-rows")
         if rows.isEmpty():
             break
-        often = letter_counts(titles, "l1_title") if often is None else often
+        often = (letter_counts(titles, "l1_title"), lengths_of(titles, "l1_title")) if often is None else often
         done = materialize(done.union(best(scored(rows.select("bucket", "l1_title").distinct(), level), rows)), "negative-best")
     return done.select("idx", "l1_title", F.col("best.q_l2").alias("l2_title"), "bucket", F.col("qid").alias("positive_qid"), F.col("best.q_qid").alias("negative_qid"), F.col("best.jw").alias("l1_jw_to_source"), F.lit("negative").alias("label"))
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polynym.functions.similarity import levenshtein_within
@@ -19,6 +22,12 @@ from polynym.operators.materialize import materialize
 
 #: Lengths are told apart by bands, each longer than the last by a fifth.
 BAND = 1.2
+#: Lengths up to this one are told apart one by one where only like lengths go together.
+EXACT = 32
+#: Kinds of pairs by the first letters that are the same: so many in the key, so many at most.
+KINDS = ((0, 0), (1, 1), (2, 3), (4, 4))
+#: Keys of a string for each kind, where two tokens a key don't make more.
+KEYS = 100
 MASK = (1 << 64) - 1
 
 
@@ -40,49 +49,94 @@ def mixed(*parts: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def jaro_winkler_keys(text: str, threshold: float, often: dict[str, int]) -> set[int]:
-    """Keys of which two strings of the threshold or more share one.
+def length_class(n: int, exact: bool) -> int:
+    """Classes of lengths: of short strings the lengths themselves, if ``exact``, else bands."""
+    return n if exact and n <= EXACT else EXACT + 1 + band(n)
+
+
+def class_ends(c: int) -> tuple[int, int]:
+    """The least and the largest length of a class."""
+    return (c, c) if c <= EXACT else (math.ceil(BAND ** (c - EXACT - 1) - 1e-6), math.floor(BAND ** (c - EXACT) + 1e-6))
+
+
+@lru_cache(maxsize=1 << 14)
+def key_plan(n: int, threshold: float, lengths: frozenset[int] | None) -> list[tuple[int, list[tuple[int, int, np.ndarray]]]]:
+    """For each kind of prefix and class of other lengths: a number for both classes, which of them is longer, and which tokens of a string of length n are put together."""
+    out = []
+    for kind, prefix in KINDS:
+        if n < kind:
+            continue
+        j = least_jaro_of(threshold, prefix)
+        share, ratio = 3 * j - 1, 3 * j - 2  # ratio: of the shorter length to the longer, at least
+        exact = ratio >= 0.5
+        bands = range(length_class(EXACT + 1 if exact else 1, exact), EXACT + 1 + OPEN)
+        there = [*(range(1, EXACT + 1) if exact else ()), *bands] if lengths is None else sorted({length_class(m, exact) for m in lengths})
+
+        def reach(low: int, high: int, ratio=ratio, exact=exact, there=there) -> list[int]:
+            """Classes of lengths that go with lengths from ``low`` to ``high``."""
+            first, last = (length_class(max(1, math.ceil(low * ratio - 1e-9)), exact), length_class(math.floor(high / ratio + 1e-9), exact)) if ratio > 0 else (0, EXACT + 1 + OPEN)
+            return [c for c in there if first <= c <= last and class_ends(c)[0] <= class_ends(c)[1]]
+
+        mine, made = length_class(n, exact), []
+        for other in reach(n, n):
+            small, large = min(mine, other), max(mine, other)
+            least = lambda x, y, kind=kind, share=share: math.ceil(share * x * y / (x + y) - 1e-9) - kind
+            # What holds for all strings of both classes tells how many tokens make a key, so that both sides agree.
+            surely, top = least(class_ends(small)[0], class_ends(large)[0]), class_ends(large)[1] - kind
+            most = KEYS // max(1, len(reach(*class_ends(large))))
+            r = max(0, min(surely, 2))
+            while r < surely and math.comb(top - surely + r + 1, r + 1) <= most:
+                r += 1
+            common = max(surely, least(n, class_ends(other)[0]))
+            if n - kind >= common:
+                made.append((mixed(kind, small, large), (0 if mine == other else 1 if mine < other else 2), np.array(list(combinations(range(n - kind - common + r), r)), dtype=np.int64).reshape(-1, r) if r else np.zeros((1, 0), dtype=np.int64)))
+        out.append((kind, made))
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def token_code(c: str, seen: int) -> int:
+    """A random number for a token: sums of them tell sets of tokens apart."""
+    return int.from_bytes(blake2b(f"{ord(c)}:{seen}".encode(), digest_size=8).digest())
+
+
+def jaro_winkler_tokens(text: str, threshold: float, often: dict[str, int], lengths: frozenset[int] | None = None) -> np.ndarray:
+    """Keys such that of two strings of the threshold or more one has the ``mate`` of a key of the other.
 
     Of strings of n and m letters with a Jaro similarity of j at least
     ``(3j - 1) * n * m / (n + m)`` letters are common, of any order. A letter and
-    its number within the string make a token. If s tokens are common, the two
-    rarest common ones are among the rarest ``n - s + 2`` of either string, so
-    pairs of these are keys, beside the bands of both lengths. What is common is
-    told for three kinds of pairs: four first letters are the same (which then are
-    part of the key, and less similarity is needed beyond them), one is, or none.
+    its number within the string make a token. If s tokens are common, the r
+    rarest common ones are among the rarest ``n - s + r`` of either string, so
+    all r of these are a key, beside the lengths of both; the more tokens, the fewer
+    strings share a key, so r is as large as ``KEYS`` allows. What is common is
+    told for four kinds of pairs: four first letters are the same (which then are
+    part of the key, and less similarity is needed beyond them), two are, one is, or none.
+    ``lengths``: those that occur, if they are known. The last two bits tell whether the other string is of
+    the same class of lengths (0), of a longer (1) or a shorter one (2), so that strings of one class only meet for keys of that class.
     """
-    n = len(text)
-    out: set[int] = set()
-    for kind in (0, 1, 4):
-        if n < kind:
-            continue
-        # With one common letter the prefix may be up to three long.
-        j = least_jaro_of(threshold, {0: 0, 1: 3, 4: 4}[kind])
-        share, seen = 3 * j - 1, Counter()
-        tokens = []
+    out = []
+    for kind, entries in key_plan(len(text), threshold, lengths):
+        seen, tokens = Counter(), []
         for c in text[kind:]:
             seen[c] += 1
-            tokens.append((often.get(c, 0) / 4 ** seen[c], ord(c), seen[c]))
+            tokens.append((often.get(c, 0) / 4 ** seen[c], c, seen[c]))
         tokens.sort()
-        names = [mixed(c, i) for _, c, i in tokens]
-        head = mixed(kind, *map(ord, text[:kind]))
-        ratio = 3 * j - 2  # of the shorter length to the longer, at least
-        low, high = (max(1, math.ceil(n * ratio - 1e-9)), math.floor(n / ratio + 1e-9)) if ratio > 0 else (1, None)
-        mine = band(n)
-        bands = range(band(low), band(high) + 1) if high else range(0, OPEN)
-        for other in bands:
-            m = max(low, math.ceil(BAND**other - 1e-6))
-            common = math.ceil(share * n * m / (n + m) - 1e-9) - kind
-            group = mixed(head, min(mine, other), max(mine, other))
-            if common <= 0:
-                out.add(group)
-            elif common == 1:
-                out.update(mixed(group, t) for t in names)
-            elif common <= len(names):
-                out.update(mixed(group, s, t) for s, t in combinations(names[: len(names) - common + 2], 2))
-            if common == 1 or common > 1 and len(names) < 2:
-                out.update(mixed(group, t) for t in names)
-    return out
+        codes = np.array([token_code(c, i) for _, c, i in tokens], dtype=np.uint64)
+        head = mixed(kind, *map(ord, text[:kind])) & MASK
+        for group, side, put in entries:
+            made = codes[put].sum(axis=1, dtype=np.uint64) + np.uint64((group * 0x9E3779B97F4A7C15 + head) & MASK)
+            out.append(made << np.uint64(2) | np.uint64(side))
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+
+
+def jaro_winkler_keys(text: str, threshold: float, often: dict[str, int], lengths: frozenset[int] | None = None) -> set[int]:
+    """Keys of which two strings of the threshold or more share one, whichever is longer."""
+    return set((jaro_winkler_tokens(text, threshold, often, lengths) >> 2).tolist())
+
+
+def mate(token: Column) -> Column:
+    """The key that another string has where this one has ``token``."""
+    return F.when(token.bitwiseAND(F.lit(3)) == 0, token).otherwise(token.bitwiseXOR(F.lit(3)))
 
 
 #: Bands of lengths up to about a billion, where a threshold sets no limit.
@@ -95,13 +149,21 @@ def letter_counts(texts: DataFrame, text: str) -> dict[str, int]:
     return {r.c: r.n for r in letters.groupBy("c").agg(F.count("*").alias("n")).collect()}
 
 
-def keyed_by_jaro_winkler(rows: DataFrame, text: str, threshold: float, often: dict[str, int] | None = None) -> DataFrame:
-    """``rows`` with a ``token`` for each key of ``text``; two that reach the threshold share one. Empty and null texts have none."""
-    counts = letter_counts(rows, text) if often is None else often
+def lengths_of(texts: DataFrame, text: str) -> frozenset[int]:
+    """The lengths that occur; no more than the longest string has letters."""
+    return frozenset(r.n for r in texts.select(F.length(text).alias("n")).where("n > 0").distinct().collect())
+
+
+def keyed_by_jaro_winkler(rows: DataFrame, text: str, threshold: float, often: dict[str, int] | None = None, lengths: frozenset[int] | None = None) -> DataFrame:
+    """``rows`` with a ``token`` for each key of ``text``; of two that reach the threshold one has the ``mate`` of a token of the other. Empty and null texts have none.
+
+    Two tables that are joined need the same ``often`` and ``lengths``.
+    """
+    counts, long = (letter_counts(rows, text), lengths_of(rows, text)) if often is None else (often, lengths)
 
     @F.pandas_udf("array<bigint>")
     def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: list(jaro_winkler_keys(s, threshold, counts)) if s else None)
+        return texts.map(lambda s: jaro_winkler_tokens(s, threshold, counts, long) if s else None)
 
     # Keys are much work for few bytes, so rows are dealt to all tasks; the keys are written once, for both sides of a join.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,10 +1,13 @@
 """Work that has to grow with the titles, not with the rows or with what is written about them."""
 
+import random
 from pathlib import Path
 
 import pytest
 
+from polynym.functions.similarity import jaro_winkler_values
 from polynym.operators import negatives, reports
+from polynym.operators import similarity_join as J
 from polynym.plans import queries as core
 
 SMALL = Path("/root/testdata/sf0.001")
@@ -31,3 +34,17 @@ def test_rows_of_a_title_take_one_of_its_two_best(spark, monkeypatch):
     # Each title has rows of all qids, so the first row of the same title and another qid wins.
     want = [(i, min((j for j in range(70) if j % 5 == i % 5 and j % 7 != i % 7))) for i in range(70)]
     assert [(r.idx, r.l2_title) for r in got] == [(i, f"t {j}") for i, j in want]
+
+
+def test_random_names_hardly_ever_meet():
+    """Seven random letters of 16 and one of eight words: keys hold all matches, and few other pairs."""
+    rnd = random.Random(1)
+    names = sorted({"".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) + " " + rnd.choice("ring bolt plate gear widget rod gizmo anvil".split()) for _ in range(1200)})
+    often = {c: sum(c in s for s in names) for c in set("".join(names))}
+    keys = [{(t ^ 3 if t & 3 else t): t for t in J.jaro_winkler_tokens(s, 0.9, often, frozenset(map(len, names))).tolist()} for s in names]
+    has = [set(k.values()) for k in keys]
+    met = {(i, j) for i, k in enumerate(keys) for j in range(i) if not has[j].isdisjoint(k)}
+    pairs = [(i, j) for i in range(len(names)) for j in range(i)]
+    scores = jaro_winkler_values([names[i] for i, _ in pairs], [names[j] for _, j in pairs])
+    assert {p for p, s in zip(pairs, scores) if s >= 0.9} <= met
+    assert len(met) < len(pairs) * 0.02
