@@ -3,9 +3,10 @@
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
-from polynym.functions.similarity import jaro_winkler_values
+from polynym.functions.similarity import jaro_winkler_value, jaro_winkler_values
 from polynym.operators import negatives, reports
 from polynym.operators import similarity_join as J
 from polynym.plans import queries as core
@@ -48,3 +49,39 @@ def test_random_names_hardly_ever_meet():
     scores = jaro_winkler_values([names[i] for i, _ in pairs], [names[j] for _, j in pairs])
     assert {p for p, s in zip(pairs, scores) if s >= 0.9} <= met
     assert len(met) < len(pairs) * 0.02
+
+
+def test_titles_are_held_against_all_of_their_bucket_by_bounds():
+    """The two best of different qids, whatever the letters, numbers of rows and ties; few exact similarities are computed."""
+    rnd = random.Random(2)
+    for letters, n in (("ab", 60), ("abcdefghijkl é日𝒳", 150)):
+        titles = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(n)})
+        rows = [(rnd.choice(titles), f"q{rnd.randint(0, 3)}", i, f"l{i}", "b") for i in range(2 * n)]
+        rows += [(t, "q0", 2 * n + i, "", "b") for i, t in enumerate(titles)]
+        # As the caller does: of each title the first row and the first of another qid.
+        firsts = {}
+        for r in rows:
+            kept = firsts.setdefault(r[0], [])
+            if len(kept) < 2 and r[1] not in {k[1] for k in kept}:
+                kept.append(r)
+        b = pd.DataFrame([r for kept in firsts.values() for r in kept], columns=["other", "q_qid", "q_idx", "q_l2", "bucket"])
+        got = negatives.closest(pd.DataFrame({"l1_title": titles}), b)
+        found = {t: sorted((-r.jw, r.q_idx, r.q_qid) for r in g.itertuples()) for t, g in got.groupby("l1_title")}
+        for t in titles:
+            want = []
+            for s, i, q in sorted((-jaro_winkler_value(min(t, r.other), max(t, r.other)), r.q_idx, r.q_qid) for r in b.itertuples()):
+                if q not in {x[2] for x in want}:
+                    want.append((s, i, q))
+            assert found[t] == want[:2]
+    assert len(negatives.closest(pd.DataFrame({"l1_title": ["a"]}), b.iloc[:0])) == 0
+
+
+@pytest.mark.parametrize("sizes", [{"few": 0}, {"few": 0, "many": 0}])
+def test_hard_negatives_of_large_buckets(spark, sizes):
+    rnd = random.Random(3)
+    rows = [(i, f"q{rnd.randint(0, 4)}", "".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 8))), f"l{i}", f"b{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "idx long, qid string, l1_title string, l2_title string, bucket string")
+    got = {r.idx: (r.l2_title, r.l1_jw_to_source) for r in negatives.hard_negatives(df, **sizes).collect()}
+    for i, q, t, _, b in rows:
+        best = max((jaro_winkler_value(min(t, r[2]), max(t, r[2])), -r[0]) for r in rows if r[4] == b and r[1] != q)
+        assert got[i] == (f"l{-best[1]}", best[0])
