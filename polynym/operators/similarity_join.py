@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import blake2b
 from itertools import combinations
 
@@ -28,6 +28,8 @@ EXACT = 32
 KINDS = ((0, 0), (1, 1), (2, 3), (4, 4))
 #: Keys of a string for each kind, where two tokens a key don't make more.
 KEYS = 100
+#: Keys of a string within some edits for each other length, where two tokens a key don't make more.
+EDIT_KEYS = 36
 MASK = (1 << 64) - 1
 
 
@@ -208,23 +210,76 @@ def edit_keys(text: str, most: int) -> tuple[list[str], list[str]]:
     return own, list(dict.fromkeys(seek))
 
 
-def edit_pairs(titles: DataFrame, title: str, most: int, seeking: DataFrame | None = None) -> DataFrame:
-    """``(title, other, d)``: for each of ``seeking`` (all ``titles``, unless told), the ``titles`` within ``most`` edits, itself (d = 0) included.
+@lru_cache(maxsize=1 << 12)
+def edit_plan(n: int, most: int, lengths: frozenset[int]) -> list[tuple[int, int, np.ndarray]]:
+    """For each other length within ``most``: a number for both, which is longer, and which tokens of a string of length n are put together."""
+    out = []
+    for m in sorted(lengths):
+        if abs(n - m) > most or m > EXACT:
+            continue
+        common = max(n, m) - most
+        if n < common:
+            continue
+        r = max(0, min(common, 2))
+        while r < common and math.comb(most + r + 1, r + 1) <= EDIT_KEYS:
+            r += 1
+        put = np.array(list(combinations(range(n - common + r), r)), dtype=np.int64).reshape(-1, r) if r else np.zeros((1, 0), dtype=np.int64)
+        out.append((mixed(most, min(n, m), max(n, m)), (0 if n == m else 1 if n < m else 2), put))
+    return out
 
-    Both have distinct titles.
-    """
 
-    def both(texts: pd.Series) -> pd.DataFrame:
-        made = [edit_keys(s, most) for s in texts]
-        return pd.DataFrame({"own": [o for o, _ in made], "seek": [k for _, k in made]})
+def edit_tokens(text: str, most: int, often: dict[str, int], lengths: frozenset[int]) -> tuple[np.ndarray, int]:
+    """Keys such that of two strings within ``most`` edits and of up to ``EXACT`` letters one has the ``mate`` of a key of the other; and a mask of all letters.
+
+    An edit takes one letter away at most, so all letters but ``most`` of the longer string are common, see
+    ``jaro_winkler_tokens``. A segment of a title is no rarer than the words it is made of; its rarest letters are.
+    """
+    seen, tokens = Counter(), []
+    for c in text:
+        seen[c] += 1
+        tokens.append((often.get(c, 0) / 4 ** seen[c], c, seen[c]))
+    tokens.sort()
+    codes = np.array([token_code(c, i) for _, c, i in tokens], dtype=np.uint64)
+    mask = int(np.bitwise_or.reduce(np.uint64(1) << (codes >> np.uint64(58)))) if tokens else 0
+    out = []
+    for group, side, put in edit_plan(len(text), most, lengths) if len(text) <= EXACT else ():
+        made = codes[put].sum(axis=1, dtype=np.uint64) + np.uint64(group & MASK)
+        out.append(made << np.uint64(2) | np.uint64(side))
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64), mask - (1 << 64) if mask >> 63 else mask
 
-    keys = F.pandas_udf(both, "own array<string>, seek array<string>")
 
-    def keyed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        made = materialize(rows.select(F.col(title).alias(name), keys(F.col(title)).alias("k")).select(name, *(F.transform(F.col("k")[c], lambda x: F.xxhash64(x)).alias(c) for c in ("own", "seek"))), "edit-keys")
-        return made.select(name, F.explode("own").alias("key")), made.select(name, F.explode("seek").alias("key"))
+def edit_pairs(titles: DataFrame, title: str, most: int, seeking: DataFrame | None = None) -> DataFrame:
+    """``(title, other, d)``: for each of ``seeking`` (all ``titles``, unless told), the ``titles`` within ``most`` edits, itself (d = 0) included.
 
-    # The shorter one is found by its own keys; either may be the one that seeks.
-    (own_a, seek_a), (own_b, seek_b) = keyed(titles if seeking is None else seeking, "a"), keyed(titles, "b")
-    met = own_a.join(seek_b, "key").select("a", "b").union(seek_a.join(own_b, "key").select("a", "b")).distinct()
-    return met.withColumn("d", levenshtein_within(F.col("a"), F.col("b"), most)).where("d is not null").select(F.col("a").alias(title), F.col("b").alias("other"), "d")
+    Both have distinct titles. Two of up to ``EXACT`` letters meet by rare letters, others by segments. Masks of
+    letters and then the distance decide where two meet, so only pairs within it are gathered and told apart.
+    """
+    often, lengths = letter_counts(titles, title), lengths_of(titles, title) | {0}
+    long = max(lengths) > EXACT
+
+    def made(texts: pd.Series) -> pd.DataFrame:
+        found = [edit_tokens(s, most, often, lengths) for s in texts]
+        # Only the longer of two seeks, so that segments are cut where one of two is long.
+        segment = [edit_keys(s, most) if long and len(s) > EXACT - most else ([], []) for s in texts]
+        return pd.DataFrame({"token": [t for t, _ in found], "mask": [m for _, m in found], "own": [o for o, _ in segment], "seek": [k if len(s) > EXACT else [] for s, (_, k) in zip(texts, segment, strict=True)]})
+
+    keys = F.pandas_udf(made, "token array<bigint>, mask bigint, own array<string>, seek array<string>")
+    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        return materialize(rows.repartition(parts).select(F.col(title).alias(name), keys(F.col(title)).alias("k")).select(name, F.col("k.mask").alias(f"{name}_mask"), "k.token", *(F.transform(F.col("k")[c], lambda x: F.xxhash64(x)).alias(c) for c in ("own", "seek"))), "edit-keys")
+
+    def by(rows: DataFrame, name: str, column: str) -> DataFrame:
+        return rows.select(name, f"{name}_mask", F.explode(column).alias("key"))
+
+    b = keyed(titles, "b")
+    a = b.withColumnsRenamed({"b": "a", "b_mask": "a_mask"}) if seeking is None else keyed(seeking, "a")
+    # The shorter one is found by its own segments; either may be the one that seeks.
+    met = [(by(a, "a", "token"), by(b, "b", "token").withColumn("key", mate(F.col("key"))))]
+    met += [(by(a, "a", "own"), by(b, "b", "seek")), (by(a, "a", "seek"), by(b, "b", "own"))] if long else []
+    x, y = F.col("a_mask"), F.col("b_mask")
+    # An edit adds one letter at most and takes one away at most.
+    may = (F.bit_count(x.bitwiseAND(F.bitwise_not(y))) <= most) & (F.bit_count(y.bitwiseAND(F.bitwise_not(x))) <= most)
+    d = levenshtein_within(F.col("a"), F.col("b"), most)
+    pairs = reduce(DataFrame.union, [l.join(r, "key").where(may).select("a", "b", d.alias("d")).where("d is not null") for l, r in met])
+    return pairs.distinct().select(F.col("a").alias(title), F.col("b").alias("other"), "d")

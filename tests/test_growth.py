@@ -6,7 +6,7 @@ from pathlib import Path
 import pandas as pd
 import pytest
 
-from polynym.functions.similarity import jaro_winkler_value, jaro_winkler_values
+from polynym.functions.similarity import jaro_winkler_value, jaro_winkler_values, levenshtein_within
 from polynym.operators import negatives, reports
 from polynym.operators import similarity_join as J
 from polynym.plans import queries as core
@@ -85,3 +85,20 @@ def test_hard_negatives_of_large_buckets(spark, sizes):
     for i, q, t, _, b in rows:
         best = max((jaro_winkler_value(min(t, r[2]), max(t, r[2])), -r[0]) for r in rows if r[4] == b and r[1] != q)
         assert got[i] == (f"l{-best[1]}", best[0])
+
+
+def test_edit_pairs_of_short_and_long_titles(spark):
+    """Titles on both sides of the length up to which rare letters are keys."""
+    rnd = random.Random(4)
+    pool = set()
+    for _ in range(60):
+        s = "".join(rnd.choice("abcdefgh") for _ in range(rnd.choice((1, 4, J.EXACT - 2, J.EXACT, J.EXACT + 2, J.EXACT + 12))))
+        for _ in range(4):
+            at = rnd.randint(0, len(s))
+            s = s[:at] + rnd.choice(("", "x", "yz")) + s[at + rnd.randint(0, 2) :]
+            pool.add(s)
+    df = spark.createDataFrame([(s,) for s in sorted(pool)], "t string")
+    a, b = df.toDF("a"), df.toDF("b")
+    want = {(r.a, r.b): r.d for r in a.crossJoin(b).withColumn("d", levenshtein_within(a.a, b.b, 4)).where("d is not null").collect()}
+    assert {(r.t, r.other): r.d for r in J.edit_pairs(df, "t", 4).collect()} == want
+    assert any(len(x) <= J.EXACT < len(y) for x, y in want)
