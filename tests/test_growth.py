@@ -102,3 +102,21 @@ def test_edit_pairs_of_short_and_long_titles(spark):
     want = {(r.a, r.b): r.d for r in a.crossJoin(b).withColumn("d", levenshtein_within(a.a, b.b, 4)).where("d is not null").collect()}
     assert {(r.t, r.other): r.d for r in J.edit_pairs(df, "t", 4).collect()} == want
     assert any(len(x) <= J.EXACT < len(y) for x, y in want)
+
+
+def test_titles_of_common_words_meet_by_their_rare_letters():
+    """Titles of a few words with letters of their own: segments are words and shared by most, rare letters are not."""
+    rnd = random.Random(5)
+    titles = sorted({f"{rnd.choice(('large', 'small', 'hot'))[:3]}{''.join(rnd.choice('0123456789abcdef') for _ in range(5))} {rnd.choice(('ring', 'bolt', 'plate'))}" for _ in range(900)})
+    often, lengths = {c: sum(c in t for t in titles) for c in set("".join(titles))}, frozenset(map(len, titles))
+
+    def meet(made):
+        by_key = {}
+        for i, (own, seek) in enumerate(made):
+            for k in own:
+                by_key.setdefault(k, set()).add(i)
+        return {(i, j) for j, (_, seek) in enumerate(made) for k in seek for i in by_key.get(k, ())}
+
+    tokens = [J.edit_tokens(t, 2, often, lengths)[0].tolist() for t in titles]
+    found = meet([(k, [x ^ 3 if x & 3 else x for x in k]) for k in tokens])
+    assert len(found) * 20 < len(meet([J.edit_keys(t, 2) for t in titles]))
