@@ -78,14 +78,25 @@ def type_buckets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, q, b) for i, (q, b) in enumerate(TYPE_BUCKETS)], "ord int, type string, bucket string")
 
 
+#: First titles of an entity that meet its second titles in one task.
+TITLES = 2048
+
+
 def sitelink_pairs(sitelinks: DataFrame, types: DataFrame, labels: DataFrame, l1: str, l2: str) -> DataFrame:
     """The graph pattern as joins: entities with a title in both languages and a given type.
 
     ``sitelinks`` (entity, lang, title), ``types`` (entity, type), ``labels`` (type, label).
     """
     a, b = (sitelinks.where(F.col("lang") == lang).select("entity", F.col("title").alias(t)) for lang, t in ((l1, "l1_title"), (l2, "l2_title")))
-    found = a.join(b, "entity").join(types, "entity").join(labels, "type", "left")
-    return found.select(id_from_uri(F.col("entity")).alias("qid"), "l1_title", "l2_title", id_from_uri(F.col("type")).alias("wikidata_type"), F.coalesce("label", F.lit("")).alias("type_label"))
+    # Pairs of an entity's titles are as many as the product of their numbers, so all else is told before, and first titles are dealt out to tasks.
+    facts = types.join(labels, "type", "left").select("entity", id_from_uri(F.col("entity")).alias("qid"), id_from_uri(F.col("type")).alias("wikidata_type"), F.coalesce("label", F.lit("")).alias("type_label"))
+    shares = a.groupBy("entity").agg(F.ceil(F.count("*") / TITLES).cast("int").alias("_of"))
+    parts = int(sitelinks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = a.join(facts, "entity").join(shares, "entity").withColumn("_part", F.pmod(F.xxhash64("l1_title"), F.col("_of")).cast("int")).drop("_of")
+    right = b.join(shares, "entity").select("entity", "l2_title", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_part"))
+    on = ["entity", "_part"]
+    found = left.repartition(parts, *on).join(right.repartition(parts, *on).hint("merge"), on)
+    return found.select("qid", "l1_title", "l2_title", "wikidata_type", "type_label")
 
 
 def stratified(pairs: DataFrame, n_per_bucket: int, order: str = "qid") -> DataFrame:

@@ -10,6 +10,7 @@ from polynym.functions.similarity import jaro_winkler_value, jaro_winkler_values
 from polynym.operators import negatives, reports
 from polynym.operators import similarity_join as J
 from polynym.plans import queries as core
+from polynym.sources import entities
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -120,3 +121,14 @@ def test_titles_of_common_words_meet_by_their_rare_letters():
     tokens = [J.edit_tokens(t, 2, often, lengths)[0].tolist() for t in titles]
     found = meet([(k, [x ^ 3 if x & 3 else x for x in k]) for k in tokens])
     assert len(found) * 20 < len(meet([J.edit_keys(t, 2) for t in titles]))
+
+
+def test_titles_of_an_entity_are_dealt_out(spark, monkeypatch):
+    """All pairs of its titles, once for each type, whatever shares they are dealt out in."""
+    monkeypatch.setattr(entities, "TITLES", 2)
+    links = [("u/e1", "en", f"a{i % 6}") for i in range(7)] + [("u/e1", "de", f"b{i}") for i in range(5)] + [("u/e2", "en", None), ("u/e2", "de", "z"), ("u/e3", "en", "only")]
+    kinds = [("u/e1", "t/1"), ("u/e1", "t/2"), ("u/e2", None), ("u/e3", "t/1")]
+    got = entities.sitelink_pairs(spark.createDataFrame(links, "entity string, lang string, title string"), spark.createDataFrame(kinds, "entity string, type string"), spark.createDataFrame([("t/1", "one")], "type string, label string"), "en", "de")
+    want = [(e[2:], x, y, (t or "")[2:], "one" if t == "t/1" else "") for e, t in kinds for f, lang, x in links if (f, lang) == (e, "en") for g, other, y in links if (g, other) == (e, "de")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert "u/" not in str(got.first()) and got.columns == ["qid", "l1_title", "l2_title", "wikidata_type", "type_label"]
